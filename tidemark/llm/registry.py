@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .packing import op10_best_fit_packing
 from .token_records import op2_token_records
 
 QUERIES = {
     "op2_token_records": op2_token_records,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
