@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from .packing import op10_best_fit_packing
+from .simhash import op1_simhash_near_dedup
 from .token_records import op2_token_records
 
 QUERIES = {
+    "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_token_records": op2_token_records,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
