@@ -5,11 +5,24 @@ from __future__ import annotations
 from .packing import op10_best_fit_packing
 from .simhash import op1_simhash_near_dedup
 from .token_records import op2_token_records
+from .warc import op9_warc
 
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_token_records": op2_token_records,
+    "op9_warc": op9_warc,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+OP9_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+k AS (SELECT d, max(page_id) AS kept FROM p WHERE n >= 1000 GROUP BY d HAVING count(*) > 1)
+SELECT p.page_id, CAST(n AS BIGINT) AS payload_bytes, p.d AS payload_digest,
+       CASE WHEN kept IS NULL OR page_id IS NOT DISTINCT FROM kept THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM kept THEN kept END AS refers_to
+FROM p LEFT JOIN k ON p.d = k.d
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op9_warc": OP9_SQL,
+}
