@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontamination import op3_decontamination
 from .packing import op10_best_fit_packing
 from .pii import op6_pii
+from .quality_classifier import op5_quality_classifier
 from .quality_rules import OP8_SQL, op8_quality_rules
 from .simhash import op1_simhash_near_dedup
 from .token_records import op2_token_records
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_token_records": op2_token_records,
     "op3_decontamination": op3_decontamination,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_pii": op6_pii,
     "op8_quality_rules": op8_quality_rules,
     "op9_warc": op9_warc,
