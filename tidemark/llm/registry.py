@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontamination import op3_decontamination
+from .licenses import op4_license_scan
 from .packing import op10_best_fit_packing
 from .pii import op6_pii
 from .quality_classifier import op5_quality_classifier
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_token_records": op2_token_records,
     "op3_decontamination": op3_decontamination,
+    "op4_license_scan": op4_license_scan,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_pii": op6_pii,
     "op8_quality_rules": op8_quality_rules,
