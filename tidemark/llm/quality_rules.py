@@ -63,13 +63,15 @@ def measures(docs: DataFrame) -> DataFrame:
     Null texts count as empty: no words, base_failed. lang only picks the reference; other or null languages are judged by
     character classes alone. Columns of docs keep out of the way in doc, whatever their names.
     """
-    own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"), docs["lang"].cast("string").alias("lang"), F.monotonically_increasing_id().alias("row"))
-    # row is not deterministic for the optimiser, which so keeps these steps apart instead of repeating one inside the next.
-    split = own.select("doc", "text", "lang", "row", F.array_remove(F.split("text", f"{SPACE}+"), "").alias("words"), F.filter(F.split("text", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")).alias("lines"), *[(F.length("text") - F.length(F.regexp_replace("text", p, ""))).alias(k) for k, p in CLASS_PATTERNS.items()])
+    # row is not deterministic for the optimiser, so a filter on it stays above; else it would go below each step and
+    # repeat there, many times over, what the step computes once.
+    row = F.monotonically_increasing_id().alias("row")
+    own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"), docs["lang"].cast("string").alias("lang"), row)
+    split = own.select("doc", "text", "lang", row, F.array_remove(F.split("text", f"{SPACE}+"), "").alias("words"), F.filter(F.split("text", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")).alias("lines"), *[(F.length("text") - F.length(F.regexp_replace("text", p, ""))).alias(k) for k, p in CLASS_PATTERNS.items()])
     every = sorted({w for words in COMMON.values() for w in words})
     by_lang = lambda kind: F.coalesce(*[F.when(F.col("lang") == g, F.array(*[F.lit(x) for x in kind(COMMON[g])])) for g in COMMON])
     counted = split.select(
-        "doc", "row", F.length("text").cast("long").alias("chars"), F.size("words").cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"), F.col("symbol").cast("long").alias("n_symbols"),
+        "doc", row, F.length("text").cast("long").alias("chars"), F.size("words").cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"), F.col("symbol").cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), F.coalesce(_repeat_words(F.col("words"), F.size("words")), F.lit(0)).cast("long").alias("n_repeat_words"),
         F.filter("words", lambda w: w.isin(every)).alias("common"), by_lang(list).alias("ref_words"), by_lang(lambda x: [*x.values(), 1 - sum(x.values())]).alias("ref_shares"), *CLASS_PATTERNS,
     )
@@ -79,13 +81,13 @@ def measures(docs: DataFrame) -> DataFrame:
     hits = F.transform("ref_words", lambda r: F.size(F.filter("common", lambda w: w == r)).cast("double"))
     word_counts = F.transform(F.array(hits), lambda h: F.concat(h, F.array(F.col("n_words").cast("double") - F.aggregate(h, F.lit(0.0), lambda a, b: a + b))))[0]
     judged = counted.select(
-        "doc", "row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "doc", row, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         ((F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))).alias("base_failed"),
         F.when(F.col("chars") >= CLASS_GUARD, _distance(class_counts, F.col("chars").cast("double"), F.array(*[F.lit(x) for x in CLASSES.values()])) - CLASS_SLACK / F.sqrt("chars")).alias("class_distance"),
         F.when(F.col("n_words") >= WORD_GUARD, _distance(word_counts, F.col("n_words").cast("double"), F.col("ref_shares")) - WORD_SLACK / F.sqrt("n_words")).alias("word_distance"),
     )
     strays = (F.coalesce("class_distance", F.lit(0.0)) > CLASS_LIMIT) | (F.coalesce("word_distance", F.lit(0.0)) > WORD_LIMIT)
-    return judged.withColumn("kept", ~F.col("base_failed") & ~strays)
+    return judged.drop("row").withColumns({"kept": ~F.col("base_failed") & ~strays, "row": row})
 
 
 def keep_documents(docs: DataFrame) -> DataFrame:

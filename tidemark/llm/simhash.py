@@ -47,15 +47,21 @@ def simhash(text: str, shingle: int = 3) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
+def text_key(docs: DataFrame):
+    """A hash of the whole text; with doc_id it names a row, or rows equal in both."""
+    return F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id and fp, the fingerprint's 64 bits as a signed long, for each row of docs (doc_id, text). Null texts count as empty."""
+    """doc_id, key (the text's hash) and fp, the fingerprint's 64 bits as a signed long, for each row of docs (doc_id, text)."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([simhash(x.as_py(), shingle) for x in b.column(1)], "u8").view("i8")
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["doc_id", "fp"])
+            fp = np.array([simhash(x.as_py(), shingle) for x in b.column(2)], "u8").view("i8")
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], names=["doc_id", "key", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(make, "doc_id long, fp long")
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_key(docs).alias("key"), text_or_empty("text").alias("text"))
+    return rows.mapInArrow(make, "doc_id long, key long, fp long")
 
 
 def segment(fp, i: int):
@@ -96,6 +102,18 @@ def pigeonring_links(fps: DataFrame, distance: int) -> DataFrame:
     return index.join(probe, near).select("a", "b")
 
 
+def grouped(docs: DataFrame, distance: int = 3, shingle: int = 3) -> DataFrame:
+    """doc_id, key, fp, root of its component and copies (rows of its fingerprint) of each row of docs (doc_id, text)."""
+    each = materialise(fingerprints(docs, shingle), "fingerprints")
+    fps = materialise(each.groupBy("fp").agg(F.count("*").alias("copies")), "classes")
+    clumps = connected_components(clump_links(fps, distance))
+    own = fps.join(clumps, fps["fp"] == clumps["node"], "left").select("fp", F.coalesce("root", "fp").alias("own"))
+    links = pigeonring_links(own, distance)
+    joined = connected_components(links.unionAll(clumps.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    roots = fps.join(joined, fps["fp"] == joined["node"], "left").select("fp", "copies", F.coalesce("root", "fp").alias("root"))
+    return each.join(roots, "fp", "left").select("doc_id", "key", "fp", "root", "copies")
+
+
 def near_duplicates(docs: DataFrame, distance: int = 3, shingle: int = 3) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, fp, component_id, links.
 
@@ -103,17 +121,29 @@ def near_duplicates(docs: DataFrame, distance: int = 3, shingle: int = 3) -> Dat
     only if none of them has a doc_id); links counts the other rows with the same fingerprint. Null and
     empty texts have fingerprint 0 and link like others. Other columns are not read.
     """
-    each = materialise(fingerprints(docs, shingle), "fingerprints")
-    classes = each.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
-    fps = materialise(classes, "classes")
-    clumps = connected_components(clump_links(fps, distance))
-    own = fps.select("fp").join(clumps, fps["fp"] == clumps["node"], "left").select("fp", F.coalesce("root", "fp").alias("own"))
-    links = pigeonring_links(own, distance)
-    joined = connected_components(links.unionAll(clumps.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-    found = fps.join(joined, fps["fp"] == joined["node"], "left").select("fp", "least", "copies", F.coalesce("root", "fp").alias("root"))
-    least = found.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = found.join(least, "root").select("fp", "component_id", (F.col("copies") - 1).alias("links"))
-    return each.join(named, "fp", "left").select("doc_id", "fp", "component_id", "links")
+    rows = materialise(grouped(docs, distance, shingle), "grouped")
+    least = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(least, "root").select("doc_id", "fp", "component_id", (F.col("copies") - 1).alias("links"))
+
+
+def keep_one(docs: DataFrame, distance: int = 3, shingle: int = 3) -> DataFrame:
+    """docs without near duplicates: of each component one row stays, that of the least doc_id, with all its columns.
+
+    Rows without a doc_id come after all others. Of rows that share that doc_id the one of least text hash stays, of
+    rows that are equal in both any one.
+    """
+    rows = grouped(docs, distance, shingle).select("root", "doc_id", "key").groupBy("root", "doc_id", "key").agg(F.count("*").alias("n"))
+    rows = materialise(rows.withColumn("place", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")), "grouped")
+    first = rows.groupBy("root").agg(F.min("place").alias("first"), F.count("*").alias("rows"))
+    judged = rows.join(first.where("rows > 1"), "root").where("place != first")
+    gone = materialise(judged.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")), "near-duplicates")
+    left = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_id"]) & (text_key(docs) == gone["_key"]), "left_anti")
+    if rows.where("n > 1").isEmpty():
+        return left
+    # Some rows share doc_id and text: only those meet in one place.
+    names = docs.columns
+    again = left.withColumn("_key", text_key(left)).dropDuplicates(["doc_id", "_key"])
+    return again.select(*names)
 
 
 def op1_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
