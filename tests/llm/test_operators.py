@@ -129,6 +129,19 @@ def test_token_counts(spark, docs, some):
     assert token_counts.count_tokens(empty(spark), RANKS).count() == 0
 
 
+def test_batches_of_long_texts_are_bounded(spark):
+    texts = documents(spark, [(i, "x" * 300_000) for i in range(60)]).coalesce(1)
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes], pa.int64())], names=["n"])
+
+    seen = [r.n for r in shared.in_arrow(texts.select("text"), sizes, "n long").collect()]
+    assert len(seen) > 3 and max(seen) <= shared.BATCH_BYTES + 400_000
+
+
 # -- near duplicates
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .shared import materialise, text_or_empty
+from .shared import in_arrow, materialise, text_or_empty
 
 GRAM = 3
 #: Items are aligned in windows of at most this many words.
@@ -33,7 +33,7 @@ COPY = 0.6
 WORD = re.compile(r"[^\W_]+")
 #: Up to this many n-grams go to the tasks as they are (8 MB); of more, only a table of bits does.
 MOST_EXACT, TABLE_BITS, MOST_TABLE_BITS = 1 << 20, 22, 27
-KEEP_WORDS = 500_000
+KEEP_WORDS = 200_000
 
 
 class WordHashes(dict):
@@ -118,7 +118,7 @@ def item_windows(items: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), text_or_empty().alias("text"))
-    return materialise(rows.mapInArrow(cut, "item_id long, win int, words array<string>, grams array<long>"), "items")
+    return materialise(in_arrow(rows, cut, "item_id long, win int, words array<string>, grams array<long>"), "items")
 
 
 def count_grams(docs: DataFrame, sought: GramFilter) -> DataFrame:
@@ -134,7 +134,7 @@ def count_grams(docs: DataFrame, sought: GramFilter) -> DataFrame:
             grams, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, "i8"), np.empty(0, "i8"))
             yield pa.RecordBatch.from_arrays([pa.array(grams, pa.int64()), pa.array(n, pa.int64())], names=["gram", "n"])
 
-    return docs.select(text_or_empty().alias("text")).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("df"))
+    return in_arrow(docs.select(text_or_empty().alias("text")), count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("df"))
 
 
 def rare_seeds(windows: DataFrame, df: DataFrame) -> DataFrame:
@@ -161,7 +161,7 @@ def passages(docs: DataFrame, sought: GramFilter) -> DataFrame:
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("text_key"), text_or_empty().alias("text"))
-    return rows.mapInArrow(find, "doc_id long, text_key long, passage array<string>, grams array<long>")
+    return in_arrow(rows, find, "doc_id long, text_key long, passage array<string>, grams array<long>")
 
 
 def align(item: list[str], passage: list[str]) -> int:
@@ -208,7 +208,7 @@ def contaminated(docs: DataFrame, items: DataFrame, copy: float = COPY) -> DataF
                             column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.float64()))], names=["doc_id", "text_key", "item_id", "score"])
 
-    return pairs.mapInArrow(score, "doc_id long, text_key long, item_id long, score double").groupBy("doc_id", "text_key", "item_id").agg(F.max("score").alias("score"))
+    return in_arrow(pairs, score, "doc_id long, text_key long, item_id long, score double").groupBy("doc_id", "text_key", "item_id").agg(F.max("score").alias("score"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, copy: float = COPY) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .shared import materialise, text_or_empty
+from .shared import in_arrow, materialise, text_or_empty
 from .tokens import encoder
 
 ROUNDS = 240
@@ -63,7 +63,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, with
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, schema.types)], schema=schema)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return materialise(rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, part long, part_rank long" + ", ids array<int>" * with_ids), "pieces")
+    return materialise(in_arrow(rows, cut, "doc_id long, piece int, start long, length long, ids_crc32 long, part long, part_rank long" + ", ids array<int>" * with_ids), "pieces")
 
 
 def best_configuration(worth: np.ndarray, capacity: int) -> dict[int, int]:
@@ -200,14 +200,14 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     base = by_part.withColumn("before", F.coalesce(F.sum("count").over(W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("part", "length", "before")
     ranked = pieces.join(base, ["part", "length"]).withColumn("rank", F.col("before") + F.col("part_rank")).drop("part", "part_rank", "before")
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            t = pa.Table.from_batches([b])
-            sequence, offset = places.value.find(t["length"].to_numpy(), t["rank"].to_numpy())
-            yield from t.drop_columns(["rank"]).append_column("sequence_id", pa.array(sequence, pa.int64())).append_column("offset", pa.array(offset, pa.int64())).to_batches()
+    @F.arrow_udf("struct<sequence_id:long,offset:long>")
+    def place(length: pa.Array, rank: pa.Array) -> pa.Array:
+        sequence, offset = places.value.find(length.to_numpy(zero_copy_only=False), rank.to_numpy(zero_copy_only=False))
+        return pa.StructArray.from_arrays([pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], names=["sequence_id", "offset"])
 
-    names = [f for f in ranked.schema.fields if f.name != "rank"]
-    return ranked.select(*[f.name for f in names], "rank").mapInArrow(place, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in names) + ", sequence_id long, offset long")
+    # Only these two columns go to Python; ids, where there are any, stay in the JVM.
+    placed = ranked.withColumn("place", place("length", "rank"))
+    return placed.select(*[c for c in ranked.columns if c != "rank"], "place.sequence_id", "place.offset")
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise, text_or_empty
+from .shared import bound_batches, in_arrow, materialise, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 EMAIL, IP, CARD, PHONE = range(4)
@@ -184,7 +184,7 @@ def scan_documents(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, spans)], names=["doc_id", "spans"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return materialise(rows.mapInArrow(run, "doc_id long, spans array<struct<kind:int,start:long,end:long,code:int>>"), "spans")
+    return materialise(in_arrow(rows, run, "doc_id long, spans array<struct<kind:int,start:long,end:long,code:int>>"), "spans")
 
 
 def reliabilities(v: np.ndarray, n: np.ndarray, rounds: int = 60) -> np.ndarray:
@@ -268,9 +268,11 @@ def redact(docs: DataFrame, sure: float = SURE) -> DataFrame:
     """docs with each span of personal data in text replaced by a mark such as [EMAIL]; all other columns and rows stay."""
     keep = frozenset(accepted_codes(scan_documents(docs), sure))
 
-    @F.pandas_udf("string")
-    def clean(texts):
-        return texts.map(lambda t: None if t is None else redact_text(t, keep))
+    bound_batches(docs.sparkSession)
+
+    @F.arrow_udf("string")
+    def clean(texts: pa.Array) -> pa.Array:
+        return pa.array([redact_text(t.as_py(), keep) if t.is_valid else None for t in texts], pa.string())
 
     return docs.withColumn("text", clean(F.col("text").cast("string")))
 

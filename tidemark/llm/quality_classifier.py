@@ -18,7 +18,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise, text_or_empty
+from .shared import in_arrow, materialise, text_or_empty
 
 #: Labelled rows that training takes at most, those of least hash.
 MOST_TRAINING = 20_000
@@ -66,7 +66,7 @@ def measure(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c) for c in rows.T)], names=["doc_id", *STATISTICS])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return materialise(rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{s} double" for s in STATISTICS)), "statistics")
+    return materialise(in_arrow(rows, run, "doc_id long, " + ", ".join(f"{s} double" for s in STATISTICS)), "statistics")
 
 
 def in_training(doc_id: Column) -> Column:

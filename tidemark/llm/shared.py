@@ -49,6 +49,20 @@ def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+#: Bytes of a batch that goes to Python. Counted in rows alone, a batch of long texts would have no bound that is small.
+BATCH_BYTES = 4 << 20
+
+
+def in_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+    """df.mapInArrow(run, schema) in batches of at most BATCH_BYTES (a longer row is one by itself)."""
+    bound_batches(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
+def bound_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def parallelism(spark: SparkSession) -> int:
     """Partitions for a shuffle whose count is set by hand: what the session would use itself."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import materialise, text_or_empty
+from .shared import in_arrow, materialise, text_or_empty
 
 BITS, SEGMENTS = 64, 4
 WIDTH = BITS // SEGMENTS
@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], names=["doc_id", "key", "fp"])
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_key(docs).alias("key"), text_or_empty("text").alias("text"))
-    return rows.mapInArrow(make, "doc_id long, key long, fp long")
+    return in_arrow(rows, make, "doc_id long, key long, fp long")
 
 
 def segment(fp, i: int):

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_or_empty
+from .shared import in_arrow, text_or_empty
 
 #: Longer pieces of the vocabulary are not used.
 LONGEST_PIECE = 16
@@ -109,7 +109,7 @@ def count_tokens(docs: DataFrame, vocabulary: str) -> DataFrame:
         yield counted(ids, texts)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_pretokens long, n_tokens long")
+    return in_arrow(rows, run, "doc_id long, n_pretokens long, n_tokens long")
 
 
 def op7_token_counts(spark, sf_dir: str, vocabulary: str | None = None) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .shared import materialise, open_store, parallelism, scratch_dir, text_or_empty
+from .shared import in_arrow, materialise, open_store, parallelism, scratch_dir, text_or_empty
 from .tokens import encoder
 
 NO_ID, NARROW = 1, 2
@@ -88,7 +88,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int, par
                     at, tokens, records = at + len(record), tokens + len(ids), records + 1
         yield pa.RecordBatch.from_pylist([{"part": part, "file": name, "records": records, "tokens": tokens, "bytes": at}] if records else [], schema=pa.schema([("part", pa.int64()), ("file", pa.string()), ("records", pa.int64()), ("tokens", pa.int64()), ("bytes", pa.int64())]))
 
-    return materialise(rows.mapInArrow(write, MANIFEST), "token-manifest")
+    return materialise(in_arrow(rows, write, MANIFEST), "token-manifest")
 
 
 def read_records(manifest: DataFrame, folder: str, with_ids: bool = True) -> DataFrame:
@@ -127,7 +127,7 @@ def read_records(manifest: DataFrame, folder: str, with_ids: bool = True) -> Dat
                             out, held = [[] for _ in kinds], 0
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(out, kinds)], names=[n for n, _ in kinds])
 
-    return runs.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
+    return in_arrow(runs, read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
 
 
 def op2_token_records(spark, sf_dir: str, tokenizer: str | None = None, end_id: int = 2) -> DataFrame:

@@ -21,7 +21,7 @@ CHUNK = re.compile(f"[{SPACE}]+(?=[{SPACE}][^{SPACE}])|[{SPACE}]?[^{SPACE}]+|[{S
 #: A line's end, Latin letters, ASCII marks: a pre-token each.
 PLAIN = re.compile("(\n?)((?:(?<!\\n) )?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
 #: Chunks that a worker keeps; the table is emptied when it is full.
-KEEP_CHUNKS = 900_000
+KEEP_CHUNKS = 300_000
 #: Longer chunks are encoded each time.
 LONGEST_KEPT = 64
 

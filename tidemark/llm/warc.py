@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise, open_store, parallelism, scratch_dir, text_or_empty
+from .shared import in_arrow, materialise, open_store, parallelism, scratch_dir, text_or_empty
 
 MAGIC = b"\x1f\x8b\x08"
 GZIP = 31  # zlib's window bits for one gzip member
@@ -99,7 +99,7 @@ def write_archives(pages: DataFrame, folder: str, partitions: int | None = None)
                     size += len(member)
         yield pa.RecordBatch.from_pylist([{"file": name, "bytes": size}] if size else [], schema=pa.schema([("file", pa.string()), ("bytes", pa.int64())]))
 
-    return materialise(rows.mapInArrow(write, "file string, bytes long"), "warc-manifest")
+    return materialise(in_arrow(rows, write, "file string, bytes long"), "warc-manifest")
 
 
 def inflate(data: bytes | memoryview, more) -> tuple[bytes, int]:
@@ -196,7 +196,7 @@ def read_archives(files: DataFrame, folder: str, split: int = SPLIT) -> DataFram
                             out, held = [], 0
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    return ranges.mapInArrow(read, "file string, place long, record_type string, page_id long, url string, refers_to long, payload_digest string, payload_bytes long, payload binary")
+    return in_arrow(ranges, read, "file string, place long, record_type string, page_id long, url string, refers_to long, payload_digest string, payload_bytes long, payload binary")
 
 
 def op9_warc(spark, sf_dir: str) -> DataFrame:
