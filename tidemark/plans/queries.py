@@ -289,6 +289,52 @@ def percent_encoded(spark, d):
     return table(spark, d, "pages").select("page_id", paths.percent_encode(F.col("url")).alias("encoded"))
 
 
+@query(f"""WITH {OBJECTS}, c AS (SELECT *, (row_number() OVER (PARTITION BY bundle ORDER BY index) - 1) // 8 AS chunk FROM objects)
+SELECT bundle, CAST(chunk AS BIGINT) AS chunk, count(*) AS n, min(index) AS first_index, max(index) AS last_index FROM c GROUP BY ALL""")
+def read_batches(spark, d):
+    """A bundle's objects in batches of fixed size, in order of index."""
+    return objects.in_chunks(object_rows(spark, d), 8).groupBy("bundle", "chunk").agg(F.count("*").alias("n"), F.min("index").alias("first_index"), F.max("index").alias("last_index"))
+
+
+@query(f"""WITH {OBJECTS} SELECT bundle, count(*) AS planned, count(*) FILTER (WHERE index % 7 <> 0) AS successful, count(*) FILTER (WHERE index % 7 = 0 AND index % 14 <> 0) AS failed, count(*) FILTER (WHERE index % 14 = 0) AS skipped,
+ count(DISTINCT index // 8) AS batches, CAST(coalesce(sum(size) FILTER (WHERE index % 7 <> 0), 0) AS BIGINT) AS bytes, CAST(sum(index % 5) AS BIGINT) AS duration_ms FROM objects GROUP BY bundle""")
+def plan_statistics(spark, d):
+    reads = object_rows(spark, d).select("bundle", F.expr("index div 8").alias("batch"), (F.col("index") % 7 != 0).alias("success"), F.when(F.col("index") % 14 == 0, "no reader").alias("skipped"), F.col("size").alias("payload_len"), (F.col("index") % 5).alias("duration_ms"))
+    return metrics.plan_statistics(reads)
+
+
+@query(f"""WITH {OBJECTS}, s AS (SELECT bundle, count(DISTINCT container) AS n, count(DISTINCT regexp_replace(container, '/[^/]*$', '')) AS folders FROM objects GROUP BY bundle)
+SELECT bundle, CASE WHEN n = 0 THEN 'none' WHEN n = 1 THEN 'one' WHEN folders = 1 THEN 'folder' ELSE 'many' END AS route FROM s""")
+def container_routes(spark, d):
+    found = object_rows(spark, d).groupBy("bundle").agg(F.collect_set("container").alias("containers"))  # distinct before the shuffle
+    return found.select("bundle", grouping.container_route(F.col("containers")).alias("route"))
+
+
+@query("""SELECT p_partkey AS path_id, coalesce(max_by(l_returnflag, (l_orderkey, l_linenumber, l_returnflag)), '') AS data FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY p_partkey""")
+def payload_lookup(spark, d):
+    """Reads with the last entry of their name in a container."""
+    items = table(spark, d, "lineitem").select(F.col("l_partkey").cast("string").alias("name"), F.col("l_returnflag").cast("binary").alias("data"), F.struct("l_orderkey", "l_linenumber", "l_returnflag").alias("ord"))
+    return objects.payloads(table(spark, d, "part").select(F.col("p_partkey").alias("path_id")), items).select("path_id", F.col("data").cast("string").alias("data"))
+
+
+@query(f"WITH {PAGE_PATH} SELECT page_id, path || CASE WHEN page_id % 3 = 1 THEN '/music_score/x.txt' ELSE '' END AS published FROM p")
+def text_asset_names(spark, d):
+    ending = F.when(F.col("page_id") % 3 == 0, ".bytes").when(F.col("page_id") % 3 == 1, "/music_score/x.BYTES").otherwise("")
+    return _page_paths(spark, d).select("page_id", paths.text_asset_file(F.concat("path", ending)).alias("published"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN turn >= 1 THEN 'c' || conv_id END AS base, CASE WHEN turn >= 1 THEN turn END AS number FROM conversations")
+def segment_keys(spark, d):
+    base, number = paths.segment_key(F.format_string("c%d-%03d", "conv_id", "turn"))
+    return table(spark, d, "conversations").select("conv_id", "turn", base.alias("base"), number.alias("number"))
+
+
+@query("""SELECT o_orderkey, o_orderkey % 200 + 400 >= 500 OR o_orderkey % 200 + 400 IN (429, 408) AS again, CAST(least(100.0 * pow(2, o_orderkey % 10), 5000) AS BIGINT) AS wait_ms FROM orders""")
+def retry_policy(spark, d):
+    key = F.col("o_orderkey")
+    return table(spark, d, "orders").select("o_orderkey", values.retry_status(key % 200 + 400).alias("again"), values.backoff_ms(key % 10 + 1, 100, 5000).alias("wait_ms"))
+
+
 @query("SELECT event_id, strftime(ts + INTERVAL 9 HOUR, '%Y%m%d%H%M%S') AS stamp FROM events")
 def tokyo_stamps(spark, d):
     return table(spark, d, "events").select("event_id", values.tokyo_stamp(F.col("ts")).alias("stamp"))
