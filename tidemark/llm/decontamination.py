@@ -190,7 +190,9 @@ def contaminated(docs: DataFrame, items: DataFrame, copy: float = COPY) -> DataF
     windows = item_windows(items)
     grams = windows.select(F.explode("grams").alias("gram"))
     seeds = materialise(rare_seeds(windows, materialise(count_grams(docs, GramFilter(grams)), "gram-counts")), "seeds")
-    near = passages(docs, GramFilter(seeds)).withColumn("gram", F.explode("grams")).drop("grams")
+    # A table between the two Python steps: in one stage each task would hold two Python workers.
+    found = materialise(passages(docs, GramFilter(seeds)), "passages")
+    near = found.withColumn("gram", F.explode("grams")).drop("grams")
     pairs = near.join(seeds, "gram").join(windows.select("item_id", "win", "words"), ["item_id", "win"]).select("doc_id", "text_key", "item_id", "win", "words", "passage")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
