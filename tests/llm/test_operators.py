@@ -216,6 +216,26 @@ def test_contaminated(spark):
     assert decontamination.contaminated(docs, items.limit(0)).count() == 0 and decontamination.contaminated(empty(spark), items).count() == 0
 
 
+def test_edited_copies_are_found_beside_exact_ones(spark):
+    r = random.Random(7)
+    vocabulary = [f"w{k}" for k in range(400)]
+    items = [(k, " ".join(r.choices(vocabulary, k=r.randint(15, 59)))) for k in range(40)]
+    texts = []
+    for k, text in items:
+        for step in (5, 6, 7, 8):
+            words = text.split()
+            for place in range(r.randrange(step), len(words), step):
+                words[place] = r.choice(["new", f"{words[place]} added", words[(place + 1) % len(words)]])
+            texts.append((100 * k + step, " ".join(r.choices(vocabulary, k=60) + words + r.choices(vocabulary, k=60))))
+        if k % 2:
+            texts.append((100 * k, text))
+    asked = spark.createDataFrame(items, "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in decontamination.contaminated(documents(spark, texts), asked).collect()}
+    words = {k: decontamination.words_of(t) for k, t in items}
+    want = {(i, k) for i, t in texts for k, _ in items if decontamination.align(words[k], decontamination.words_of(t)) >= 0.6 * 2 * len(words[k])}
+    assert len(want) > 150 and got == want
+
+
 def slow_align(a, b):
     h = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a, 1):

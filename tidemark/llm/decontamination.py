@@ -1,9 +1,9 @@
-"""Benchmark decontamination: rare word n-grams of test items find passages, word alignment decides.
+"""Benchmark decontamination: word n-grams of test items find passages, word alignment decides.
 
-One pass over the texts counts in how many of them each n-gram of the items occurs. Of every few neighbouring n-grams of
-an item the rarest is a seed, so each stretch of an item has one. A second pass takes the passages around seeds, a
-join names the items that a passage may come from, and a Smith-Waterman alignment over words scores it: copies with
-words changed, added or left out align too, chance meetings do not.
+Every n-gram of an item is a seed, however often it occurs: which ones outlast the edits of a copy is not known before.
+One pass over the texts takes the passages around seeds, and a join names the items that a passage may come from. A bound on
+the score, from the words that both have, drops most chance meetings; a Smith-Waterman alignment over words scores the
+rest: copies with words changed, added or left out align too.
 """
 
 from __future__ import annotations
@@ -16,17 +16,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from .shared import in_arrow, materialise, text_or_empty
 
 GRAM = 3
 #: Items are aligned in windows of at most this many words.
 WINDOW = 64
-#: Neighbouring n-grams of which the rarest is a seed.
-BLOCK = 6
-#: Words of a passage before and after its seeds.
-AROUND = WINDOW + 16
+#: Words of a passage before and after its seeds: what an alignment of half the greatest score can span at most.
+AROUND = 2 * WINDOW
+#: Words from a passage's first seed to its last at most.
+SPAN = 512
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Part of the greatest possible score from which on a passage counts as a copy.
 COPY = 0.6
@@ -53,9 +52,12 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def gram_hashes(words: list[str], n: int = GRAM) -> np.ndarray:
-    """A signed 64-bit hash for each n-gram."""
-    h = np.fromiter(map(_hashes.__getitem__, words), "u8", len(words))
+def word_hashes(words: list[str]) -> np.ndarray:
+    return np.fromiter(map(_hashes.__getitem__, words), "u8", len(words))
+
+
+def gram_hashes(h: np.ndarray, n: int = GRAM) -> np.ndarray:
+    """A signed 64-bit hash for each n-gram of words with hashes h."""
     if len(h) < n:
         return np.empty(0, "i8")
     out = h[: len(h) - n + 1].copy()
@@ -103,65 +105,51 @@ class GramFilter:
 
 
 def item_windows(items: DataFrame) -> DataFrame:
-    """Items (item_id, text) in windows of about equal length: item_id, win, words, grams. Items of fewer words than an
-    n-gram have none. A shared-folder table."""
-    schema = pa.schema([("item_id", pa.int64()), ("win", pa.int32()), ("words", pa.list_(pa.string())), ("grams", pa.list_(pa.int64()))])
+    """Items (item_id, text) in windows of about equal length: item_id, win, words (their hashes), grams. Items of fewer
+    words than an n-gram have none. A shared-folder table."""
+    schema = pa.schema([("item_id", pa.int64()), ("win", pa.int32()), ("words", pa.binary()), ("grams", pa.list_(pa.int64()))])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for item_id, text in zip(b.column(0).to_pylist(), b.column(1)):
-                words = words_of(text.as_py())
+                words = word_hashes(words_of(text.as_py()))
                 parts = max(1, -(-len(words) // WINDOW))
                 edges = [len(words) * k // parts for k in range(parts + 1)]
-                out += [{"item_id": item_id, "win": k, "words": words[x:y], "grams": gram_hashes(words[x:y]).tolist()} for k, (x, y) in enumerate(zip(edges, edges[1:])) if y - x >= GRAM]
+                out += [{"item_id": item_id, "win": k, "words": words[x:y].tobytes(), "grams": gram_hashes(words[x:y]).tolist()} for k, (x, y) in enumerate(zip(edges, edges[1:])) if y - x >= GRAM]
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), text_or_empty().alias("text"))
-    return materialise(in_arrow(rows, cut, "item_id long, win int, words array<string>, grams array<long>"), "items")
-
-
-def count_grams(docs: DataFrame, sought: GramFilter) -> DataFrame:
-    """gram and df, the number of texts that have it, of the sought n-grams (others may be among them)."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = []
-            for text in b.column(0):
-                h = gram_hashes(words_of(text.as_py()))
-                if len(at := sought.places(h)):
-                    found.append(np.unique(h[at]))
-            grams, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, "i8"), np.empty(0, "i8"))
-            yield pa.RecordBatch.from_arrays([pa.array(grams, pa.int64()), pa.array(n, pa.int64())], names=["gram", "n"])
-
-    return in_arrow(docs.select(text_or_empty().alias("text")), count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("df"))
-
-
-def rare_seeds(windows: DataFrame, df: DataFrame) -> DataFrame:
-    """gram, item_id, win: of each BLOCK neighbouring n-grams the one in fewest texts, the first of equals."""
-    places = windows.select("item_id", "win", F.posexplode("grams").alias("pos", "gram"))
-    each = W.partitionBy("item_id", "win", F.floor(F.col("pos") / BLOCK)).orderBy(F.coalesce("df", F.lit(0)), "pos")  # BLOCK rows at most, unless items share an id
-    return places.join(df, "gram", "left").withColumn("k", F.row_number().over(each)).where("k = 1").select("gram", "item_id", "win").distinct()
+    return materialise(in_arrow(rows, cut, "item_id long, win int, words binary, grams array<long>"), "items")
 
 
 def passages(docs: DataFrame, sought: GramFilter) -> DataFrame:
-    """doc_id, text_key (a hash of the whole text), passage and the sought n-grams in it. Seeds less than AROUND
-    words apart share a passage, so none is cut between them."""
-    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("passage", pa.list_(pa.string())), ("grams", pa.list_(pa.int64()))])
+    """doc_id, text_key (a hash of the whole text), passage (its words' hashes) and the sought n-grams in it. Each has AROUND
+    words before and after its seeds, so a copy is whole in the passage of any of its seeds."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("passage", pa.binary()), ("grams", pa.list_(pa.int64()))])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for i, text in enumerate(b.column(2)):
-                words = words_of(text.as_py())
+                words = word_hashes(words_of(text.as_py()))
                 h = gram_hashes(words)
                 if len(at := sought.places(h)):
-                    for run in np.split(at, np.flatnonzero(np.diff(at) > AROUND) + 1):
-                        out.append({"doc_id": b.column(0)[i].as_py(), "text_key": b.column(1)[i].as_py(), "passage": words[max(0, run[0] - AROUND) : run[-1] + GRAM + AROUND], "grams": np.unique(h[run]).tolist()})
+                    for near in np.split(at, np.flatnonzero(np.diff(at) > AROUND) + 1):
+                        for run in np.split(near, np.flatnonzero(np.diff((near - near[0]) // SPAN)) + 1):
+                            out.append({"doc_id": b.column(0)[i].as_py(), "text_key": b.column(1)[i].as_py(), "passage": words[max(0, run[0] - AROUND) : run[-1] + GRAM + AROUND].tobytes(), "grams": np.unique(h[run]).tolist()})
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("text_key"), text_or_empty().alias("text"))
-    return in_arrow(rows, find, "doc_id long, text_key long, passage array<string>, grams array<long>")
+    return in_arrow(rows, find, "doc_id long, text_key long, passage binary, grams array<long>")
+
+
+def most_possible(item: np.ndarray, passage: np.ndarray, span: int) -> int:
+    """A bound on the alignment score, from above: that of the best stretch of at most span words of the passage, if each
+    of its words that the item has matched."""
+    sums = np.concatenate([[0], np.cumsum(np.where(np.isin(passage, item), MATCH, -1))])
+    before = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(span, len(passage) * MATCH), sums]), span + 1)
+    return int((sums - before.min(1)).max())
 
 
 def align(item: list[str], passage: list[str]) -> int:
@@ -188,8 +176,7 @@ def contaminated(docs: DataFrame, items: DataFrame, copy: float = COPY) -> DataF
     one. Other columns are not read.
     """
     windows = item_windows(items)
-    grams = windows.select(F.explode("grams").alias("gram"))
-    seeds = materialise(rare_seeds(windows, materialise(count_grams(docs, GramFilter(grams)), "gram-counts")), "seeds")
+    seeds = windows.select("item_id", "win", F.explode("grams").alias("gram")).distinct()
     # A table between the two Python steps: in one stage each task would hold two Python workers.
     found = materialise(passages(docs, GramFilter(seeds)), "passages")
     near = found.withColumn("gram", F.explode("grams")).drop("grams")
@@ -204,8 +191,11 @@ def contaminated(docs: DataFrame, items: DataFrame, copy: float = COPY) -> DataF
                 if last != (doc_id, key, passage):  # rows of one passage follow each other
                     last, done = (doc_id, key, passage), {}
                 if (item, win) not in done:
-                    done[item, win] = s = align(words, passage) / (MATCH * len(words))
-                    if s >= copy:
+                    a, b_ = np.frombuffer(words, "u8"), np.frombuffer(passage, "u8")
+                    # A copy has MATCH * len(a) * (1 - copy) words more than the window at most: each costs 1.
+                    possible = most_possible(a, b_, len(a) + int(MATCH * len(a) * (1 - copy)) + 1) >= copy * MATCH * len(a)
+                    done[item, win] = s = align(a.tolist(), b_.tolist()) / (MATCH * len(a)) if possible else 0.0
+                    if possible and s >= copy:
                         for column, value in zip(out, (doc_id, key, item, s)):
                             column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.float64()))], names=["doc_id", "text_key", "item_id", "score"])
