@@ -10,11 +10,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.decontamination import decontaminate
+from tidemark.llm.near_copies import keep_one
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.pii import redact
 from tidemark.llm.quality_rules import keep_documents
 from tidemark.llm.shared import scratch_dir
-from tidemark.llm.simhash import keep_one
 
 TOKENIZER = "byte_bpe_50k.json"
 

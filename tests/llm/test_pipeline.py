@@ -1,5 +1,7 @@
 """The pipeline's stages on planted rows, and the registered queries with SQL."""
 
+import random
+
 import public_tokenizers  # noqa: F401
 import pytest
 from tokenizers import Tokenizer
@@ -33,6 +35,35 @@ def test_stages(spark, tmp_path):
         assert [i for p in pieces for i in p.ids] == t.encode(text[doc], add_special_tokens=False).ids + [0]
 
 
+def test_near_dedup_stage_is_that_of_all_pairs(spark):
+    r = random.Random(11)
+    texts = []
+    for k in range(40):
+        words = [f"w{r.randrange(5000)}" for _ in range(r.randint(60, 400))]
+        texts.append(" ".join(words))
+        for changes in range(1, 1 + max(1, len(words) // 45)):
+            near = words[:]
+            for place in r.sample(range(len(near)), changes):
+                near[place] = "changed"
+            texts.append(" ".join(near))
+    texts += ["", None, "two words", "Two  words", "two others"]
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+    sets = [shingles((t or "").lower().split()) for t in texts]
+    root = list(range(len(texts)))
+    similarities = []
+    for i in range(len(texts)):
+        for j in range(i):
+            similarities.append(len(sets[i] & sets[j]) / len(sets[i] | sets[j]))
+            if similarities[-1] >= 0.8:
+                root = [root[j] if x == root[i] else x for x in root]
+    assert sum(0.8 <= x < 0.95 for x in similarities) > 50 and sum(0.6 < x < 0.8 for x in similarities) > 20
+    first = {}
+    for i, x in enumerate(root):
+        first.setdefault(x, i)
+    kept = corpus_pipeline.near_dedup(spark, documents(spark, list(enumerate(texts))), "")
+    assert sorted(x.doc_id for x in kept.collect()) == sorted(first.values())
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_same_rows(spark, duck, tables, name):  # noqa: F811
     got, want = QUERIES[name](spark, tables).toPandas(), duck.sql(ORACLE_SQL[name]).df()

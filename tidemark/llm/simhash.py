@@ -132,7 +132,12 @@ def keep_one(docs: DataFrame, distance: int = 3, shingle: int = 3) -> DataFrame:
     Rows without a doc_id come after all others. Of rows that share that doc_id the one of least text hash stays, of
     rows that are equal in both any one.
     """
-    rows = grouped(docs, distance, shingle).select("root", "doc_id", "key").groupBy("root", "doc_id", "key").agg(F.count("*").alias("n"))
+    return keep_first(docs, grouped(docs, distance, shingle).select("root", "doc_id", "key"))
+
+
+def keep_first(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of docs that keep_one leaves, if rows (root, doc_id, key) name the component of each."""
+    rows = rows.groupBy("root", "doc_id", "key").agg(F.count("*").alias("n"))
     rows = materialise(rows.withColumn("place", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")), "grouped")
     first = rows.groupBy("root").agg(F.min("place").alias("first"), F.count("*").alias("rows"))
     judged = rows.join(first.where("rows > 1"), "root").where("place != first")
