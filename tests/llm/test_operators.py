@@ -1,7 +1,9 @@
 """Operators against brute force, round trips and held-out rows, and on odd rows: nulls, empty and very long texts, ties, repeats,
 empty tables, columns with clashing names."""
 
+import base64
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -129,6 +131,24 @@ def test_token_counts(spark, docs, some):
     assert token_counts.count_tokens(empty(spark), RANKS).count() == 0
 
 
+def test_token_counts_use_the_whole_vocabulary():
+    with open(RANKS, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    norm = math.log(sum(1 / (r + token_counts.OFFSET) for r in ranks.values()))
+    cost = {p: math.log(r + token_counts.OFFSET) + norm for p, r in ranks.items()}
+
+    def count(word):
+        best = [(0.0, 0)]
+        for end in range(1, len(word) + 1):
+            best.append(min((best[b][0] + cost[word[b:end]], best[b][1] + 1) for b in range(end) if word[b:end] in cost))
+        return best[-1][1]
+
+    words = [p for p in ranks if len(p) > 16] + [b" " + c * n for c in (b"-", b"=", b"_", b"*") for n in (31, 32, 63, 64, 65, 128, 200)]
+    words += [b" " + w for w in b"responsibilities unconstitutional telecommunications disproportionately irresponsibilities telecommunicationsx".split()]
+    got = token_counts.Unigrams(RANKS).terminals(words)
+    assert [w for w in words if got[w] != count(w)] == [] and got[b" responsibilities"] == got[b" telecommunications"] == 1
+
+
 def test_batches_of_long_texts_are_bounded(spark):
     texts = documents(spark, [(i, "x" * 300_000) for i in range(60)]).coalesce(1)
 

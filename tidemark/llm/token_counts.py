@@ -20,8 +20,6 @@ from pyspark.sql import functions as F
 
 from .shared import in_arrow, text_or_empty
 
-#: Longer pieces of the vocabulary are not used.
-LONGEST_PIECE = 16
 #: A piece of rank r has probability in proportion to 1 / (r + OFFSET).
 OFFSET = 2.7
 #: Pre-tokens whose counts a worker keeps; the table is emptied when it is full.
@@ -34,14 +32,16 @@ class Unigrams:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         norm = math.log(sum(1 / (r + OFFSET) for r in ranks.values()))
-        self.scores = {p: -math.log(r + OFFSET) - norm for p, r in ranks.items() if len(p) <= LONGEST_PIECE}
+        self.scores = {p: -math.log(r + OFFSET) - norm for p, r in ranks.items()}
         if len([p for p in self.scores if len(p) == 1]) < 256:
             raise ValueError(f"{path} does not have every single byte")
+        # The trie of reversed pieces: each ending of a piece, with its score or, if it is none itself, None.
+        self.endings: dict[bytes, float | None] = {p[k:]: None for p in self.scores for k in range(1, len(p))} | self.scores
         self.kept: dict[bytes, int] = {}
 
     def terminals(self, pre_tokens: Iterable[bytes]) -> dict[bytes, int]:
         """The number of pieces of each pre-token. Of equally likely segmentations the one with fewest pieces counts."""
-        get, out = self.scores.get, {}
+        get, out = self.endings.get, {}
         score, pieces, last = [0.0], [0], b""
         for word in sorted(set(pre_tokens)):
             shared, most = 0, min(len(last), len(word))
@@ -50,8 +50,10 @@ class Unigrams:
             del score[shared + 1 :], pieces[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
                 best, n = -math.inf, 0
-                for begin in range(max(0, end - LONGEST_PIECE), end):
-                    s = get(word[begin:end])
+                for begin in range(end - 1, -1, -1):
+                    s = get(word[begin:end], 1.0)
+                    if s == 1.0:  # no piece ends so, nor with more before it
+                        break
                     if s is not None:
                         s += score[begin]
                         if s > best or s == best and pieces[begin] < n - 1:
