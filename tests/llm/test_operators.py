@@ -256,6 +256,13 @@ def test_edited_copies_are_found_beside_exact_ones(spark):
     assert len(want) > 150 and got == want
 
 
+def test_stretches_of_long_items_are_found_wherever_they_lie(spark):
+    items = [(1, " ".join(f"a{k}" for k in range(128))), (2, " ".join(f"b{k}" for k in range(300)))]
+    texts = [(1000 * i + k, f"before it {' '.join(t.split()[k : k + n])} after it") for i, t in items for n in (39, 70) for k in range(n % 2, len(t.split()) - n, 6)]
+    found = decontamination.contaminated(documents(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(i, i // 1000) for i, _ in texts}
+
+
 def slow_align(a, b):
     h = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a, 1):

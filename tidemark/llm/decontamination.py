@@ -22,6 +22,8 @@ from .shared import in_arrow, materialise, text_or_empty
 GRAM = 3
 #: Items are aligned in windows of at most this many words.
 WINDOW = 64
+#: A window starts each quarter of a window: what is enough of it for a copy is whole in one, wherever it lies.
+STEPS = 4
 #: Words of a passage before and after its seeds: what an alignment of half the greatest score can span at most.
 AROUND = 2 * WINDOW
 #: Words from a passage's first seed to its last at most.
@@ -105,7 +107,7 @@ class GramFilter:
 
 
 def item_windows(items: DataFrame) -> DataFrame:
-    """Items (item_id, text) in windows of about equal length: item_id, win, words (their hashes), grams. Items of fewer
+    """Items (item_id, text) in overlapping windows of equal length: item_id, win, words (their hashes), grams. Items of fewer
     words than an n-gram have none. A shared-folder table."""
     schema = pa.schema([("item_id", pa.int64()), ("win", pa.int32()), ("words", pa.binary()), ("grams", pa.list_(pa.int64()))])
 
@@ -115,8 +117,9 @@ def item_windows(items: DataFrame) -> DataFrame:
             for item_id, text in zip(b.column(0).to_pylist(), b.column(1)):
                 words = word_hashes(words_of(text.as_py()))
                 parts = max(1, -(-len(words) // WINDOW))
-                edges = [len(words) * k // parts for k in range(parts + 1)]
-                out += [{"item_id": item_id, "win": k, "words": words[x:y].tobytes(), "grams": gram_hashes(words[x:y]).tolist()} for k, (x, y) in enumerate(zip(edges, edges[1:])) if y - x >= GRAM]
+                size, steps = -(-len(words) // parts), STEPS * (parts - 1)
+                starts = [(len(words) - size) * k // steps for k in range(steps)] + [len(words) - size]
+                out += [{"item_id": item_id, "win": k, "words": words[x : x + size].tobytes(), "grams": gram_hashes(words[x : x + size]).tolist()} for k, x in enumerate(starts) if size >= GRAM]
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), text_or_empty().alias("text"))
