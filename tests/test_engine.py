@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import codecs, paths, patterns, values
 from tidemark.operators import grouping, metrics, objects, planning
-from tidemark.sources import catalog, containers, sinks
+from tidemark.sources import catalog, containers, files, sinks
 from tidemark.streaming import progress
 
 
@@ -143,8 +143,25 @@ def test_ledger_files(spark, tmp_path):
     led = catalog.read_ledger(spark, str(p))
     assert {(r.bundle_path, r.hash) for r in led.collect()} == {("a", "1"), ("b", "2")}
     p.write_text("{broken")
-    assert catalog.read_ledger(spark, str(p)).count() == 0
-    sinks.write_ledger_json(led.limit(0), str(tmp_path / "out"))
+    assert catalog.read_ledger(spark, str(p)).count() == 0 and not p.exists() and (tmp_path / "ledger.json.corrupt").read_text() == "{broken"
+    for text in ('{"a": "1",\n "b": "2', '{\n  "a": "1",\n', '"a": "1"', '{"a": 1]}'):
+        p.write_text(text)
+        assert catalog.read_ledger(spark, str(p)).count() == 0 and not p.exists(), text
+    odd = {"a": "1", 'q"}{,': "x}", "ü/b c": "", "e\\n": "2,"}
+    for text in (json.dumps(odd), json.dumps(odd, indent=2, sort_keys=True), "{}", ""):
+        p.write_text(text)
+        assert {r.bundle_path: r.hash for r in catalog.read_ledger(spark, str(p)).collect()} == (odd if len(text) > 2 else {}) and p.exists()
+    rows = spark.createDataFrame(list(odd.items()), "bundle_path string, hash string")
+    for ledger in (rows, rows.limit(0)):
+        sinks.write_ledger_json(ledger, str(tmp_path / "out"))
+        assert sorted(map(tuple, catalog.read_ledger(spark, str(tmp_path / "out")).collect())) == sorted(map(tuple, ledger.collect()))
+    table = str(tmp_path / "table")
+    assert catalog.read_ledger_table(spark, table).count() == 0
+    for n in (3, 2, 4, 1):
+        sinks.write_ledger(rows.limit(n), table)
+        assert catalog.read_ledger_table(spark, table).count() == n and len(catalog.ledger_versions(spark, table)) <= 2
+    (tmp_path / "table/version=9").mkdir()  # a crash left one that isn't whole
+    assert catalog.read_ledger_table(spark, table).count() == 1
     (tmp_path / "x").mkdir()
     (tmp_path / "x/A.PNG").write_bytes(b"1")
     (tmp_path / "x/b.txt").write_bytes(b"22")
@@ -158,7 +175,7 @@ def test_segments_and_duplicates(spark):
     sig = ("t", "n", "c", "k", "e")
     given = [("a/x.png", b"1", 1, *sig), ("a/x.png", b"1", 2, *sig), ("a/x.png", b"2", 3, *sig), ("a/x.png", b"1", 4, *sig[:4], None), ("a/x.png", b"1", 5, *sig[:4], None)]
     found = grouping.distinct_outputs(spark.createDataFrame(given, "path string, payload binary, arrival long, type string, name string, container string, payload_kind string, suggested_extension string"))
-    assert sorted((r.arrival, r.output) for r in found.collect()) == [(1, "a/x.png"), (3, "a/x__dup2.png"), (4, "a/x__dup3.png"), (5, "a/x__dup4.png")]
+    assert sorted((r.arrival, r.output) for r in found.collect()) == [(1, "a/x.png"), (3, "a/x__dup2.png"), (4, "a/x__dup3.png")]
     tree = spark.createDataFrame([(10, 1, 3), (11, 10, 5), (12, 10, 7), (13, 11, 11), (14, 99, 13)], "pid long, ppid long, cpu long")
     assert grouping.process_tree_sum(spark, tree, 10).first().cpu == 26
 
@@ -195,10 +212,59 @@ def test_progress_stream_agrees_with_batch(spark, tmp_path):
 def test_incremental_stream(spark, tmp_path):
     schema = "bundle_name string, hash string, crc long, file_size long, category string, download_path string"
     ledger, drops = str(tmp_path / "ledger"), str(tmp_path / "drops")
-    spark.createDataFrame([("start/a", "h1", -1)], "bundle_path string, hash string, batch long").write.parquet(ledger)
+    spark.createDataFrame([("start/a", "h1")], "bundle_path string, hash string").write.parquet(f"{ledger}/batch=-1")
     seen = []
     plan = lambda batch, known: planning.plan(batch, known, planning.Filters(start_app=["^start/"]))
     for k, rows in enumerate([[("start/a", "h1"), ("start/b", "h1")], [("start/a", "h2"), ("start/b", "h1")]]):
         spark.createDataFrame([(n, h, 0, 0, "StartApp", None) for n, h in rows], schema).write.mode("append").parquet(drops)
         progress.incremental(spark.readStream.schema(schema).parquet(drops), ledger, plan, lambda t, n: seen.append(sorted(r.bundle_path for r in t.collect())), str(tmp_path / "cp")).awaitTermination(180)
     assert seen == [["start/b"], ["start/a"]]
+    before = sorted(map(tuple, progress.newest(spark, ledger, 9).collect()))
+    progress.compact(spark, ledger, 9)
+    assert sorted(map(tuple, progress.newest(spark, ledger, 9).collect())) == before == [("start/a", "h2"), ("start/b", "h1")]
+    assert [p.name for p in (tmp_path / "ledger").glob("batch=*")] == ["batch=1"]
+
+
+def test_terminal_states(spark):
+    from datetime import datetime, timedelta
+
+    def status(*kinds):
+        rows = [("j", datetime(2024, 1, 1) + timedelta(seconds=i), i, k, None, None, None) for i, k in enumerate(kinds)]
+        return progress.fold(spark.createDataFrame(rows, UPDATE)).first().status
+
+    assert status("BundleStarted") == "running" and status("Completed", "Failed") == "completed" and status("Failed", "Completed") == "failed"
+    assert status("Failed", "Cancelled") == "cancelled" and status("Cancelled", "Completed") == "cancelled" and status("Completed", "BundleFailed") == "completed"
+
+
+def test_files(spark, tmp_path):
+    head = bytes.fromhex(codecs.PLAIN_HEAD)
+    given = spark.createDataFrame([("a/b.dat", head + b"x" * 9), ("c", b"plain"), ("a/d.bundle", b"")], "bundle_path string, content binary")
+    root = tmp_path / "out"
+    for _ in range(2):  # again, as a task does that is run again
+        written = {r.path: r.bytes for r in files.write_files(files.bundle_files(given), str(root)).collect()}
+        assert written == {"a/b.bundle": 9, "c.bundle": 5, "a/d.bundle": 0}
+        assert {str(p.relative_to(root)): p.read_bytes() for p in root.rglob("*") if p.is_file()} == {"a/b.bundle": b"x" * 9, "c.bundle": b"plain", "a/d.bundle": b""}
+    with pytest.raises(Exception, match="unsafe bundle path"):
+        files.bundle_files(spark.createDataFrame([("../x", b"")], given.schema)).collect()
+    assert files.write_files(files.bundle_files(given.limit(0)), str(root)).count() == 0
+    image = b"\0" * 16 + struct.pack("<IIII", 1, 1, 4, 1) + b"\0" * 4 + b"RGBA"
+    reads = [("Font", "font", "x/f.ttf", b"f"), ("Font", "raw", "x/empty", b""), ("Sprite", "image_raw_rgba", "x/s.bin", image), ("Sprite", "image_raw_rgba", "x/t.bin", b"bad"), ("Texture2DArray", "image_array_bundle_png", "x/arr.png", containers.pack([("../l0.png", b"0"), ("sub/l1.png", b"1")])), ("Texture2DArray", "image_array_bundle_png", "bad", b"?"), ("Mesh", "unsupported", "x/m", b"m")]
+    found = {r.path: (r.data and bytes(r.data), r.error is None) for r in files.payload_files(spark.createDataFrame(reads, "type string, payload_kind string, target string, payload binary")).collect()}
+    assert found.pop("x/s.png")[0].startswith(b"\x89PNG")
+    assert found == {"x/f.ttf": (b"f", True), "x/t.png": (None, False), "x/arr/l0.png": (b"0", True), "x/arr/sub/l1.png": (b"1", True), "bad": (None, False)}
+
+
+def test_lookups_that_fail(spark):
+    known = spark.createDataFrame([("one", "s3"), (None, "gcs"), (" ", "s3"), ("two", "s3"), ("two", "x")], "name string, scheme string")
+    ask = lambda *names: planning.providers(known, spark.createDataFrame([(n,) for n in names], "selector string"))
+    assert sorted((r.selector, r.scheme) for r in ask(" one", "GCS", "S3").collect()) == [("GCS", "gcs"), ("S3", "s3"), ("one", "s3")]
+    for bad in ("two", "none"):
+        with pytest.raises(Exception, match="not exactly one storage provider"):
+            ask(bad).collect()
+    batches = lambda failed: spark.sql(f"SELECT array(1, 2) AS assets, array('x') AS outputs, {failed} AS failed")
+    assert objects.paired(batches("true")).count() == 0
+    with pytest.raises(Exception, match="as many outputs"):
+        objects.paired(batches("false")).collect()
+    for cut in (b"\xa5ab", b"\xcb\0", b"\xd9", b"\xcd\1", b"\xdd\0", b""):
+        with pytest.raises(ValueError):
+            catalog.unpack(cut)

@@ -39,6 +39,11 @@ def little_endian(data: Column, at: int, size: int) -> Column:
     return F.when(F.length(taken) == size, F.conv(_reversed_hex(taken, size), 16, 10).cast("decimal(20,0)"))
 
 
+def to_little_endian(n: Column, size: int) -> Column:
+    """A number from 0 on as size bytes."""
+    return F.unhex(_reversed_hex(F.unhex(F.lpad(F.hex(n.cast("long")), 2 * size, "0")), size))
+
+
 def _reversed_hex(data: Column, size: int) -> Column:
     return F.concat(*[F.hex(F.substring(data, k, 1)) for k in range(size, 0, -1)])
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 # Selectors by alias, types by selector, types without a reader, default read kinds.
 SELECTOR_OF = {"texture2d": "tex2d", "tex2d": "tex2d", "texture2darray": "tex2dArray", "tex2darray": "tex2dArray", "tex2d_array": "tex2dArray", "sprite": "sprite", "textasset": "textAsset", "text_asset": "textAsset", "monobehaviour": "monoBehaviour", "monobehavior": "monoBehaviour", "mono_behaviour": "monoBehaviour", "mono_behavior": "monoBehaviour", "font": "font", "shader": "shader", "audioclip": "audio", "audio": "audio", "videoclip": "video", "video": "video", "movietexture": "movieTexture", "movie_texture": "movieTexture", "mesh": "mesh", "animator": "animator"}
+DEFAULT_SELECTORS = ["monoBehaviour", "textAsset", "tex2d", "tex2dArray", "sprite", "audio"]
 TYPES_OF = {"tex2d": ["texture2d"], "texture2d": ["texture2d"], "tex2darray": ["texture2darray", "texture2darrayimage"], "texture2darray": ["texture2darray", "texture2darrayimage"], "sprite": ["sprite"], "textasset": ["textasset"], "monobehaviour": ["monobehaviour"], "monobehavior": ["monobehaviour"], "audio": ["audioclip"], "audioclip": ["audioclip"], "video": ["videoclip"], "videoclip": ["videoclip"], "movietexture": ["movietexture"], "font": ["font"], "shader": ["shader", "shadervariantcollection"], "mesh": ["mesh"], "animator": ["animator", "animatorcontroller"]}
 UNREADABLE = ["Animation", "AnimationClip", "AnimatorController", "AssetBundle", "AudioListener", "Avatar", "Camera", "Canvas", "CanvasRenderer", "Cubemap", "GameObject", "Material", "MeshFilter", "MeshRenderer", "MonoScript", "ParticleSystem", "ParticleSystemRenderer", "PlayableDirector", "RectTransform", "ShaderVariantCollection", "SkinnedMeshRenderer", "SortingGroup", "SpriteMask", "SpriteRenderer", "TextMesh", "Texture3D", "Transform"]
 READ_KIND = {"texture2d": "image", "texture2darray": "image", "texture2darrayimage": "image", "sprite": "image", "textasset": "text_bytes", "monobehaviour": "typetree_json", "monobehavior": "typetree_json", "audioclip": "audio", "videoclip": "video", "movietexture": "video", "font": "font", "shader": "shader", "shadervariantcollection": "shader", "mesh": "obj", "animator": "fbx"}
@@ -30,6 +31,19 @@ def type_selector(value: Column) -> Column:
     return lookup(F.lower(F.regexp_replace(value, r"(?U)^\s+|\s+\z", "")), SELECTOR_OF)
 
 
+def selectors(types: Column) -> Column:
+    """Configured types as selectors, each once, in the order given; the default ones if none is left."""
+    named = F.transform(types, lambda t: F.coalesce(type_selector(t), F.trim(t)))
+    kept = F.array_distinct(F.filter(named, lambda t: t != ""))
+    return F.when(F.size(kept) > 0, kept).otherwise(F.array(*[F.lit(t) for t in DEFAULT_SELECTORS]))
+
+
+def profile_hash(hashes: Column, profile: Column) -> tuple[Column, Column]:
+    """(the hash of a profile in a map, or null; a note if it is missing)."""
+    found = F.try_element_at(hashes, profile)
+    return found, F.when(found.isNull(), F.concat(F.lit("no hash is configured for profile "), F.coalesce(profile, F.lit(""))))
+
+
 def type_matches(selector: str, kind: Column) -> Column:
     """Whether a type is meant by a selector: 'all', itself, or one of its family."""
     name = "".join(c for c in selector if c not in "_-" and not c.isspace()).lower()
@@ -68,6 +82,12 @@ def backoff_ms(attempt: Column, first: int, most: int) -> Column:
     return F.least(F.lit(float(first)) * F.pow(F.lit(2.0), attempt - 1), F.lit(float(most))).cast("long")
 
 
+def jittered_ms(wait: Column, noise: Column) -> Column:
+    """Half of a wait, and of the other half what noise (a whole number from 0 on) leaves: waits of many do not end at once."""
+    half = F.floor(wait / 2).cast("long")
+    return half + noise % (half + 1)
+
+
 def tokyo_stamp(at: Column) -> Column:
     """A moment in UTC as digits of the time in Tokyo."""
     return F.date_format(F.convert_timezone(F.lit("UTC"), F.lit("Asia/Tokyo"), at), "yyyyMMddHHmmss")
@@ -106,5 +126,5 @@ def access_line(template: str, at: Column, status: Column, method: Column, path:
     """A log line; latencies of a second or more are in seconds."""
     from .paths import render
 
-    latency = F.when(latency_ms < 1000, F.concat(latency_ms.cast("string"), F.lit("ms"))).otherwise(F.concat(F.format_number(latency_ms / 1000, "0.00"), F.lit("s")))
+    latency = F.when(latency_ms < 1000, F.concat(latency_ms.cast("string"), F.lit("ms"))).otherwise(F.format_string("%.2fs", latency_ms.cast("double") / 1000))
     return render(template, time=at, status=status, method=method, path=path, latency=latency)

@@ -15,16 +15,20 @@ def distinct_outputs(rows: DataFrame) -> DataFrame:
     """rows (path, payload, arrival and SIGNATURE) without repeats: of equal signatures at a path the first stays, others
     there get __dup2, __dup3 and so on in order of arrival.
 
-    Repeats go by aggregation, so a payload that arrives any number of times is one row of each task; only what differs at
-    a path meets in a window. A null in a signature never equals anything.
+    Repeats go by aggregation over digests, so payloads are not shuffled; only what differs at a path meets in a window. Two nulls in
+    the same place of a signature are equal.
     """
-    signed = rows.withColumn("_sum", F.sha2("payload", 256)).withColumn("_null", F.when(F.concat(*[F.col(c) for c in SIGNATURE]).isNull(), F.col("arrival")))
-    keys = ["path", *SIGNATURE, "_sum", "_null"]
-    first = signed.groupBy(*keys).agg(F.min("arrival").alias("arrival"), F.length(F.min_by("payload", "arrival")).cast("long").alias("bytes"))
+    signed = rows.select("path", *SIGNATURE, "arrival", F.sha2("payload", 256).alias("signature"), F.length("payload").cast("long").alias("bytes"))
+    first = signed.groupBy("path", *SIGNATURE, "signature").agg(F.min("arrival").alias("arrival"), F.first("bytes").alias("bytes"))
     n = F.row_number().over(W.partitionBy("path").orderBy("arrival"))
     path = F.col("path")
     suffixed = F.concat(without_extension(path), F.lit("__dup"), F.col("n").cast("string"), F.coalesce(F.concat(F.lit("."), extension(path)), F.lit("")))
-    return first.withColumn("n", n).withColumn("output", F.when(F.col("n") == 1, path).otherwise(suffixed)).drop("n", "_null").withColumnRenamed("_sum", "signature")
+    return first.withColumn("n", n).withColumn("output", F.when(F.col("n") == 1, path).otherwise(suffixed)).drop("n")
+
+
+def _joined(parts: Column) -> Column:
+    """An array of binaries as one, in time that follows its length."""
+    return F.unhex(F.array_join(F.transform(parts, F.hex), ""))
 
 
 def merge_segments(files: DataFrame) -> DataFrame:
@@ -36,11 +40,19 @@ def merge_segments(files: DataFrame) -> DataFrame:
     n = F.size("files")
     numbers = F.transform("files", lambda x: x["_n"])
     whole = F.col("_numbered") & (n > 1) & (F.array_min(numbers) == 1) & (F.array_max(numbers) == n) & (F.size(F.array_distinct(numbers)) == n)
-    joined = F.struct(F.col("_base").alias("stem"), F.aggregate(F.transform("files", lambda x: x["data"]), F.lit(b"").cast("binary"), lambda a, b: F.concat(a, b)).alias("data"), n.cast("long").alias("merged"))
+    joined = F.struct(F.col("_base").alias("stem"), _joined(F.transform("files", lambda x: x["data"])).alias("data"), n.cast("long").alias("merged"))
     apart = F.transform("files", lambda x: F.struct(x["stem"].alias("stem"), x["data"].alias("data"), F.lit(0).cast("long").alias("merged")))
     return groups.select("dir", F.inline(F.when(whole, F.array(joined)).otherwise(apart)))
 
 
+def merge_all(files: DataFrame, suffix: str = ".usm") -> DataFrame:
+    """dir, name, data, merged: the files (dir, ord, data) of each folder one after another, whatever their names, under the folder's own
+    name. A null data adds nothing."""
+    listed = files.groupBy("dir").agg(F.sort_array(F.collect_list(F.struct("ord", "data"))).alias("files"))  # the parts of one file
+    parts = F.transform("files", lambda x: F.coalesce(x["data"], F.lit(b"").cast("binary")))
+    return listed.select("dir", F.concat(F.substring_index("dir", "/", -1), F.lit(suffix)).alias("name"), _joined(parts).alias("data"), F.size("files").cast("long").alias("merged"))
+
+
 def grouped_documents(objects: DataFrame) -> DataFrame:
     """container, object_count and objects (name, type, data) of objects with a container, those without a name first, then by name and index."""
     named = objects.where(F.trim("container") != "").withColumn("container", slashes(F.col("container")))

@@ -41,18 +41,50 @@ def array_parents(objects: DataFrame) -> DataFrame:
     return objects.where((F.col("type") == "Texture2DArray") & (F.trim("container") != "")).select("bundle", F.lower(slashes(F.col("container"))).alias("_parent")).distinct()
 
 
-def without_array_images(objects: DataFrame) -> DataFrame:
-    """Images of a texture array go if the array itself is there; those without a container never do."""
+def _covered(objects: DataFrame) -> tuple[DataFrame, Column]:
+    """The parents, and whether an object is an image that its own array covers; those without a container never are."""
     parents = array_parents(objects).withColumnRenamed("bundle", "_bundle")
     own = F.when((F.col("type") == "Texture2DArrayImage") & (F.trim("container") != ""), F.lower(slashes(F.col("container"))))
-    return objects.join(parents, (objects["bundle"] == parents["_bundle"]) & (own == parents["_parent"]), "left_anti")
+    return parents, (objects["bundle"] == parents["_bundle"]) & (own == parents["_parent"])
+
+
+def without_array_images(objects: DataFrame) -> DataFrame:
+    """Images of a texture array go if the array itself is there."""
+    parents, covered = _covered(objects)
+    return objects.join(parents, covered, "left_anti")
 
 
 def readable(objects: DataFrame, selectors: list[str]) -> DataFrame:
-    """Objects of the chosen types with a reason where they are skipped; array images under their array are dropped."""
-    chosen = without_array_images(objects.where(enabled(F.coalesce("type", F.lit("")), selectors)))
-    reason = F.when(F.coalesce(F.trim("type"), F.lit("")) == "", F.when(F.col("type").isin(UNREADABLE), "type has no reader yet").otherwise("type has no read strategy"))
-    return chosen.withColumn("skipped", reason)
+    """Objects of the chosen types, with a reason where they are skipped: an image is covered by its array, whatever selectors the array
+    has, or a type is blank. An object without a type is not chosen by any selector."""
+    parents, covered = _covered(objects)
+    marked = objects.join(parents, covered, "left")
+    chosen = marked.where(F.col("type").isNotNull() & enabled(F.col("type"), selectors))
+    reason = F.when(F.col("_parent").isNotNull(), "covered by its texture array").when(F.trim("type") == "", "type has no read strategy")
+    return chosen.withColumn("skipped", reason).drop("_bundle", "_parent")
+
+
+def unread_reason(kind: Column) -> Column:
+    """Why a type that could not be read was not: it is known to have no reader, or has no strategy."""
+    return F.when(kind.isin(UNREADABLE), "type has no reader yet").otherwise("type has no read strategy")
+
+
+def is_member_cutout(container: Column) -> Column:
+    return F.coalesce(F.contains(slashes(container), F.lit("/character/member_cutout")), F.lit(False))
+
+
+def isolation_key() -> Column:
+    """Order of reading: images, which may bring a reader down, after all others, then by index."""
+    return F.struct(F.coalesce(is_image(F.col("type")), F.lit(False)), "index")
+
+
+def paired(batches: DataFrame) -> DataFrame:
+    """place, asset, output for batches (assets and outputs, arrays in the same order; failed), with their other columns. A failed batch
+    gives none; one whose arrays differ in length fails the query."""
+    same = F.assert_true(F.col("failed") | (F.size("assets") == F.size("outputs")), F.lit("a batch has as many outputs as objects"))
+    pairs = F.arrays_zip(F.col("assets").alias("asset"), F.col("outputs").alias("output"))
+    rest = [c for c in batches.columns if c not in ("assets", "outputs", "failed")]
+    return batches.where(same.isNull() & ~F.col("failed")).select(*rest, F.posexplode(pairs).alias("place", "pair")).select(*rest, "place", F.col("pair.asset").alias("asset"), F.col("pair.output").alias("output"))
 
 
 def read_kind(kind: Column, configured: dict[str, str]) -> Column:

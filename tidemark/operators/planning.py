@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.patterns import any_match, first_match, included
-from ..functions.paths import render
+from ..functions.paths import bundle_file, render
 
 TASK = ("download_path", "bundle_path", "bundle_hash", "category", "file_size", "priority", "export_payloads", "stage_3d")
 
@@ -64,6 +64,10 @@ def plan_staged(catalogue: DataFrame, ledger: DataFrame, f: Filters, include: li
     return not_current(as_tasks(chosen, f, F.lit(None), False, True), ledger)
 
 
+def staged_in_order(tasks: DataFrame) -> DataFrame:
+    return tasks.orderBy("bundle_path")
+
+
 def prefetch(catalogue: DataFrame, f: Filters, include: list[str] | None, exclude: list[str] = ()) -> DataFrame:
     """Bundles taken as they are, whatever the category and ledgers: an empty list means all, no list none."""
     taken = F.lit(False) if include is None else included(F.col("bundle_name"), include, list(exclude), empty_means_all=True)
@@ -108,3 +112,34 @@ def updated_ledger(ledger: DataFrame, done: DataFrame) -> DataFrame:
     """The ledger with the paths of completed tasks set to their hashes; entries never go. One shuffle by path."""
     new = done.select("bundle_path", F.col("bundle_hash").alias("hash"), F.lit(1).alias("_new"))
     return ledger.select("bundle_path", "hash", F.lit(0).alias("_new")).unionByName(new).groupBy("bundle_path").agg(F.max_by("hash", F.struct("_new", "hash")).alias("hash"))
+
+
+def providers(known: DataFrame, selected: DataFrame) -> DataFrame:
+    """The storage provider of each selection (column selector) from known (name, scheme and any more): that of the same name, or if there
+    is none the unnamed one of that scheme. The query fails where there is none or more than one. Both are configuration, a few rows."""
+    asked = selected.select(F.trim("selector").alias("selector"))
+    named = known.withColumn("_key", F.trim(F.coalesce("name", F.lit(""))))
+    by_name = asked.join(named.where("_key != ''"), F.col("selector") == F.col("_key")).withColumn("_rank", F.lit(0))
+    by_scheme = asked.join(named.where("_key = ''"), F.lower("selector") == F.lower(F.trim("scheme"))).withColumn("_rank", F.lit(1))
+    found = by_name.unionByName(by_scheme).groupBy("selector").agg(F.min("_rank").alias("_best"))
+    chosen = by_name.unionByName(by_scheme).join(found, "selector").where("_rank = _best")
+    counts = asked.distinct().join(chosen.groupBy("selector").agg(F.count("*").alias("_n")), "selector", "left")
+    one = F.assert_true(F.coalesce("_n", F.lit(0)) == 1, F.concat(F.lit("not exactly one storage provider: "), F.col("selector")))
+    sure = counts.where(one.isNull()).select("selector")
+    # From the selections, so that the check is not left out where there is no provider at all.
+    return sure.join(chosen, "selector", "left").drop("_key", "_rank", "_best")
+
+
+def staging(tasks: DataFrame, pending: DataFrame, listing: DataFrame) -> DataFrame:
+    """What each task (bundle_path) needs before an export from a staging folder, given pending ones (bundle_path) and a listing (path): state
+    is ready, missing (pending and not there: an error), placeholder (not pending and not there) or kept."""
+    there = listing.select(F.col("path").alias("_there")).distinct()
+    asked = pending.select(F.col("bundle_path").alias("_pending")).distinct()
+    rows = tasks.withColumn("stored", bundle_file(F.col("bundle_path"))).join(there, F.col("stored") == F.col("_there"), "left").join(asked, F.col("bundle_path") == F.col("_pending"), "left")
+    wanted_, found = F.col("_pending").isNotNull(), F.col("_there").isNotNull()
+    return rows.withColumn("state", F.when(wanted_ & found, "ready").when(wanted_, "missing").when(found, "kept").otherwise("placeholder")).drop("_there", "_pending")
+
+
+def is_sparse() -> Column:
+    """Of a staging table, as an aggregate: some tasks are not pending, so the folder is marked as sparse."""
+    return F.bool_or(F.col("state").isin("kept", "placeholder"))

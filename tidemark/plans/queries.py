@@ -202,10 +202,10 @@ def output_path(spark, d):
     return rows.select("index", objects.output_path(rows, "out", F.lit("x"), "assets", True).alias("path"))
 
 
-@query("""WITH r AS (SELECT source || '/' || lang || '.txt' AS path, sha256(text) AS signature, min(doc_id) AS arrival, strlen(any_value(text)) AS bytes FROM documents GROUP BY ALL),
+@query("""WITH r AS (SELECT source || '/' || lang || '.txt' AS path, sha256(text) AS signature, CASE WHEN doc_id % 3 > 0 THEN 'x' END AS name, min(doc_id) AS arrival, strlen(any_value(text)) AS bytes FROM documents GROUP BY ALL),
 n AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY arrival) AS n FROM r) SELECT arrival, signature, CAST(bytes AS BIGINT) AS bytes, CASE WHEN n = 1 THEN path ELSE regexp_replace(path, '\\.txt$', '') || '__dup' || n || '.txt' END AS output FROM n""")
 def signature_dedupe(spark, d):
-    rows = table(spark, d, "documents").select(F.concat(F.concat_ws("/", "source", "lang"), F.lit(".txt")).alias("path"), F.col("text").cast("binary").alias("payload"), F.col("doc_id").alias("arrival"), *[F.lit("x").alias(c) for c in grouping.SIGNATURE])
+    rows = table(spark, d, "documents").select(F.concat(F.concat_ws("/", "source", "lang"), F.lit(".txt")).alias("path"), F.col("text").cast("binary").alias("payload"), F.col("doc_id").alias("arrival"), *[(F.when(F.col("doc_id") % 3 > 0, "x") if c == "name" else F.lit(None).cast("string")).alias(c) for c in grouping.SIGNATURE])
     return grouping.distinct_outputs(rows).select("arrival", "signature", "bytes", "output")
 
 
@@ -244,13 +244,14 @@ def kind_counts(spark, d):
 
 @query(f"""WITH {UPDATES}, c AS (SELECT job_id, min((moment, seq)) AS cut FROM updates WHERE update_type = 'Cancelled' GROUP BY job_id), k AS (SELECT u.* FROM updates u LEFT JOIN c USING (job_id) WHERE cut IS NULL OR (moment, seq) <= cut)
 SELECT job_id, coalesce(max_by(n, (moment, seq)) FILTER (WHERE update_type = 'DownloadsPlanned'), 0) AS total, count(*) FILTER (WHERE update_type = 'BundleCompleted') AS completed, count(*) FILTER (WHERE update_type = 'BundleFailed') AS failed,
- max_by(CASE update_type WHEN 'DownloadsPlanned' THEN 'planning_downloads' WHEN 'RecordSaved' THEN 'persisting_state' ELSE 'downloading_bundles' END, (moment, seq)) FILTER (WHERE update_type <> 'Cancelled') AS phase, CAST(epoch_us(max(moment)) AS BIGINT) AS updated_us, bool_or(update_type = 'Cancelled') AS cancelled FROM k GROUP BY job_id""")
+ max_by(CASE update_type WHEN 'DownloadsPlanned' THEN 'planning_downloads' WHEN 'RecordSaved' THEN 'persisting_state' ELSE 'downloading_bundles' END, (moment, seq)) FILTER (WHERE update_type NOT IN ('Cancelled', 'Completed', 'Failed')) AS phase, CAST(epoch_us(max(moment)) AS BIGINT) AS updated_us, bool_or(update_type = 'Cancelled') AS cancelled,
+ CASE WHEN bool_or(update_type = 'Cancelled') THEN 'cancelled' ELSE coalesce(min_by(lower(update_type), (moment, seq)) FILTER (WHERE update_type IN ('Completed', 'Failed')), 'running') END AS status FROM k GROUP BY job_id""")
 def progress_fold(spark, d):
     return progress.fold(updates(spark, d)).withColumn("updated_us", F.unix_micros(F.col("updated_at").cast("timestamp"))).drop("updated_at")
 
 
 @query(f"""WITH {UPDATES}, e AS (SELECT job_id, seq, CASE update_type WHEN 'DownloadsPlanned' THEN 'planned ' || n || ' bundle download(s)' WHEN 'BundleFailed' THEN 'failed bundle `' || bundle || '`: error' WHEN 'RecordSaved' THEN 'saved downloaded asset record with ' || n || ' entries' ELSE 'completed bundle `' || bundle || '`' END AS text,
- row_number() OVER (PARTITION BY job_id ORDER BY moment DESC, seq DESC) AS place FROM updates WHERE update_type <> 'Cancelled') SELECT job_id, place, text FROM e WHERE place <= 20""")
+ row_number() OVER (PARTITION BY job_id ORDER BY moment DESC, seq DESC) AS place FROM updates WHERE update_type NOT IN ('Cancelled', 'Completed', 'Failed')) SELECT job_id, place, text FROM e WHERE place <= 20""")
 def recent_events(spark, d):
     return progress.recent(updates(spark, d)).select("job_id", F.col("place").cast("long").alias("place"), "text")
 
@@ -338,3 +339,6 @@ def retry_policy(spark, d):
 @query("SELECT event_id, strftime(ts + INTERVAL 9 HOUR, '%Y%m%d%H%M%S') AS stamp FROM events")
 def tokyo_stamps(spark, d):
     return table(spark, d, "events").select("event_id", values.tokyo_stamp(F.col("ts")).alias("stamp"))
+
+
+from . import detail_queries  # noqa: E402, F401  (adds its queries to QUERIES)

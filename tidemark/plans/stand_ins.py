@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A new folder below that of spark.checkpoint.dir, which a cluster shares; on one machine without it a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.conf.get("spark.master", "local").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the cluster shares")
+        root = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+    return f"{root.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -47,9 +60,9 @@ OBJECTS = """objects AS (SELECT 'b' || p_size AS bundle, p_partkey AS index, p_p
 
 def updates(spark: SparkSession, folder: str) -> DataFrame:
     """Events as updates of the jobs of their users."""
-    kind = F.when(F.col("event_id") % 97 == 0, "Cancelled").when(F.col("event_id") % 10 == 1, "DownloadsPlanned").when(F.col("event_id") % 5 == 0, "BundleFailed").when(F.col("event_id") % 5 == 4, "RecordSaved").otherwise("BundleCompleted")
+    kind = F.when(F.col("event_id") % 97 == 0, "Cancelled").when(F.col("event_id") % 31 == 0, "Completed").when(F.col("event_id") % 37 == 0, "Failed").when(F.col("event_id") % 10 == 1, "DownloadsPlanned").when(F.col("event_id") % 5 == 0, "BundleFailed").when(F.col("event_id") % 5 == 4, "RecordSaved").otherwise("BundleCompleted")
     return table(spark, folder, "events").select(F.col("user_id").cast("string").alias("job_id"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), kind.alias("update_type"), F.col("event_type").alias("bundle"), F.floor("value").cast("long").alias("n"), F.lit("error").alias("message"))
 
 
-UPDATES = """updates AS (SELECT CAST(user_id AS VARCHAR) AS job_id, ts AS moment, event_id AS seq, CASE WHEN event_id % 97 = 0 THEN 'Cancelled' WHEN event_id % 10 = 1 THEN 'DownloadsPlanned' WHEN event_id % 5 = 0 THEN 'BundleFailed'
+UPDATES = """updates AS (SELECT CAST(user_id AS VARCHAR) AS job_id, ts AS moment, event_id AS seq, CASE WHEN event_id % 97 = 0 THEN 'Cancelled' WHEN event_id % 31 = 0 THEN 'Completed' WHEN event_id % 37 = 0 THEN 'Failed' WHEN event_id % 10 = 1 THEN 'DownloadsPlanned' WHEN event_id % 5 = 0 THEN 'BundleFailed'
   WHEN event_id % 5 = 4 THEN 'RecordSaved' ELSE 'BundleCompleted' END AS update_type, event_type AS bundle, CAST(floor(value) AS BIGINT) AS n, 'error' AS message FROM events)"""

@@ -16,9 +16,15 @@ ROW = "bundle_name string, hash string, crc long, file_size long, category strin
 LEDGER = "bundle_path string, hash string"
 
 
+def _taken(data: bytes, at: int, n: int) -> bytes:
+    if at + n > len(data):
+        raise ValueError("MessagePack ends within a value")
+    return data[at : at + n]
+
+
 def unpack(data: bytes, at: int = 0):
     """The MessagePack value at a place and the place after it."""
-    b = data[at]
+    b = _taken(data, at, 1)[0]
     at += 1
     if b < 0x80:
         return b, at
@@ -29,25 +35,23 @@ def unpack(data: bytes, at: int = 0):
     if b < 0xA0:
         return _items(data, at, b & 15)
     if b < 0xC0:
-        return data[at : at + (b & 31)].decode(), at + (b & 31)
+        return _taken(data, at, b & 31).decode(), at + (b & 31)
     if b in (0xC0, 0xC2, 0xC3):
         return {0xC0: None, 0xC2: False, 0xC3: True}[b], at
     if b in (0xC4, 0xC5, 0xC6, 0xD9, 0xDA, 0xDB):
         width = {0xC4: 1, 0xC5: 2, 0xC6: 4, 0xD9: 1, 0xDA: 2, 0xDB: 4}[b]
-        n = int.from_bytes(data[at : at + width])
-        body = data[at + width : at + width + n]
-        if len(body) < n:
-            raise ValueError("MessagePack ends within a value")
+        n = int.from_bytes(_taken(data, at, width))
+        body = _taken(data, at + width, n)
         return (body if b < 0xC7 else body.decode()), at + width + n
     if b in (0xCA, 0xCB):
         width = 4 if b == 0xCA else 8
-        return struct.unpack(">f" if width == 4 else ">d", data[at : at + width])[0], at + width
+        return struct.unpack(">f" if width == 4 else ">d", _taken(data, at, width))[0], at + width
     if 0xCC <= b <= 0xD3:
         width = 1 << (b & 3)
-        return int.from_bytes(data[at : at + width], signed=b >= 0xD0), at + width
+        return int.from_bytes(_taken(data, at, width), signed=b >= 0xD0), at + width
     if b in (0xDC, 0xDD, 0xDE, 0xDF):
         width = 2 if b in (0xDC, 0xDE) else 4
-        n = int.from_bytes(data[at : at + width])
+        n = int.from_bytes(_taken(data, at, width))
         return (_items if b < 0xDE else _pairs)(data, at + width, n)
     raise ValueError(f"MessagePack type {b:#x} is not supported")
 
@@ -90,12 +94,45 @@ def read_catalogues(spark: SparkSession, path: str, key: str | None = None, iv:
     return decode(files.select(decrypt(F.col("content"), key, iv).alias("content") if key else F.col("content")))
 
 
-def read_ledger(spark: SparkSession, path: str, missing_ok: bool = True) -> DataFrame:
-    """A JSON map of paths to hashes as rows; a missing or corrupt file counts as empty."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if missing_ok and not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+def _hadoop(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """JSON maps of paths to hashes as rows (bundle_path, hash): a file with one map, pretty or not, or files with a map a line.
+
+    Files are read by line, so a large one is split among tasks. A missing file counts as empty. A corrupt one too, after it
+    was renamed to end with .corrupt: the run goes on and fetches anew.
+    """
+    fs, place = _hadoop(spark, path)
+    if not fs.exists(place):
         return spark.createDataFrame([], LEDGER)
-    return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("bundle_path", "hash"))
+    # A line has entries, maybe with the map's braces before or after it.
+    body = F.regexp_replace(F.regexp_replace("value", r"^\s*\{?\s*", ""), r"[\s,}]+$", "")
+    lines = spark.read.text(path).select(F.trim("value").alias("value"), F.when(body != "", F.from_json(F.concat(F.lit("{"), body, F.lit("}")), "map<string,string>")).alias("m"), (body != "").alias("some"))
+    opened, closed = F.count_if(F.startswith("value", F.lit("{"))), F.count_if(F.endswith("value", F.lit("}")))
+    n, bad, opens, closes = lines.agg(F.count_if(F.col("value") != ""), F.count_if(F.col("some") & F.col("m").isNull()), opened, closed).first()
+    if bad or opens != closes or n and not opens:
+        kept = spark._jvm.org.apache.hadoop.fs.Path(path + ".corrupt")
+        fs.delete(kept, True)
+        fs.rename(place, kept)
+        return spark.createDataFrame([], LEDGER)
+    return lines.where("some").select(F.explode("m").alias("bundle_path", "hash"))
+
+
+def ledger_versions(spark: SparkSession, path: str) -> list[int]:
+    """The whole versions of a ledger table, ascending; there are two at most but for a moment."""
+    fs, place = _hadoop(spark, path)
+    found = [x.getPath() for x in fs.listStatus(place)] if fs.exists(place) else []
+    whole = [x.getName() for x in found if x.getName().startswith("version=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS"))]
+    return sorted(int(x.partition("=")[2]) for x in whole)
+
+
+def read_ledger_table(spark: SparkSession, path: str) -> DataFrame:
+    """The newest whole version of a ledger that write_ledger wrote; empty if there is none."""
+    versions = ledger_versions(spark, path)
+    return spark.read.schema(LEDGER).parquet(f"{path}/version={versions[-1]}") if versions else spark.createDataFrame([], LEDGER)
 
 
 def list_files(spark: SparkSession, path: str, extension: str | None = None) -> DataFrame:

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.codecs import to_little_endian
+
 # Head of an interleaved container, and places in an image's head.
 MAGIC, VERSION, HEAD = 0x42504148, 2, struct.Struct("<IHHIQ")
 WIDTH_AT, HEIGHT_AT, STRIDE_AT, FORMAT_AT, PIXELS_AT, RGBA = 16, 20, 24, 28, 36, 1
@@ -84,15 +86,22 @@ def explode_containers(rows: DataFrame, content: str, keys: list[str], grouped_m
     return rows.select(*keys, content).mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", ord long, name string, data binary, error string")
 
 
-def containers_of(rows: DataFrame, key: str) -> DataFrame:
-    """key, content: for each key the container of its rows' name and data in order of ord. A key's payloads fit one task."""
+def containers_of(rows: DataFrame, key: str, grouped_magic: bytes = b"") -> DataFrame:
+    """key, content: for each key the container of its rows' name and data in order of ord: interleaved, or grouped behind grouped_magic.
+    What did not read (a null data) has no bytes but keeps its name. A key's payloads are one file."""
     listed = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("ord", "name", "data"))).alias("items"))
-
-    @F.udf("binary")
-    def packed(items):
-        return pack([(x.name, bytes(x.data)) for x in items])
-
-    return listed.select(key, packed("items").alias("content"))
+    name = lambda x: F.encode(x["name"], "UTF-8")
+    data = lambda x: F.coalesce(x["data"], F.lit(b"").cast("binary"))
+    head = lambda x: F.concat(F.hex(to_little_endian(F.length(name(x)), 4)), F.hex(to_little_endian(F.length(data(x)), 8)), F.hex(name(x)))
+    joined = lambda part: F.array_join(F.transform("items", part), "")
+    count = F.hex(to_little_endian(F.size("items"), 4))
+    if grouped_magic:
+        content = F.concat(F.lit(grouped_magic.hex()), count, joined(head), joined(lambda x: F.hex(data(x))))
+    else:
+        size = F.aggregate(F.transform("items", lambda x: F.length(data(x)).cast("long")), F.lit(0).cast("long"), lambda a, b: a + b)
+        fixed = struct.pack("<IHH", MAGIC, VERSION, HEAD.size).hex()
+        content = F.concat(F.lit(fixed), count, F.hex(to_little_endian(size, 8)), joined(lambda x: F.concat(head(x), F.hex(data(x)))))
+    return listed.select(key, F.unhex(content).alias("content"))
 
 
 def pixels(data: bytes) -> tuple[int, int, bytes]:

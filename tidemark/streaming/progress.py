@@ -41,7 +41,8 @@ def to_events(updates: DataFrame) -> DataFrame:
 
 
 def fold(updates: DataFrame) -> DataFrame:
-    """One row for each job: what its updates come to. Those after a cancellation do not count.
+    """One row for each job: what its updates come to. Those after a cancellation do not count; a job that has completed or failed
+    stays so, but for a cancellation.
 
     Counts are aggregates, made before the shuffle; the newest events are kept by a bounded top-k for each job.
     """
@@ -52,8 +53,10 @@ def fold(updates: DataFrame) -> DataFrame:
     counts = events.groupBy("job_id").agg(
         F.max_by(F.when(kind == "DownloadsPlanned", F.col("n")), F.when(kind == "DownloadsPlanned", when)).alias("total"), F.count_if(kind == "BundleCompleted").alias("completed"), F.count_if(kind == "BundleFailed").alias("failed"),
         F.max_by("phase", F.when(F.col("text").isNotNull(), when)).alias("phase"), F.max("at").alias("updated_at"), F.bool_or(kind == "Cancelled").alias("cancelled"),
+        F.min_by(F.lower(kind), F.when(kind.isin("Completed", "Failed"), when)).alias("ended"),
     )
-    return counts.select("job_id", F.coalesce("total", F.lit(0)).cast("long").alias("total"), "completed", "failed", "phase", "updated_at", F.coalesce("cancelled", F.lit(False)).alias("cancelled"))
+    counts = counts.withColumn("status", F.when(F.col("cancelled"), "cancelled").otherwise(F.coalesce("ended", F.lit("running"))))
+    return counts.select("job_id", F.coalesce("total", F.lit(0)).cast("long").alias("total"), "completed", "failed", "phase", "updated_at", F.coalesce("cancelled", F.lit(False)).alias("cancelled"), "status")
 
 
 def recent(updates: DataFrame, keep: int = RECENT) -> DataFrame:
@@ -94,21 +97,49 @@ def fold_stream(updates: DataFrame) -> DataFrame:
 
 
 def incremental(catalogues: DataFrame, ledger_path: str, plan: Callable[[DataFrame, DataFrame], DataFrame], sink: Callable[[DataFrame, int], None], checkpoint: str):
-    """Start a query that plans each batch of new catalogue rows against the ledger table at ledger_path, hands the tasks to
-    sink and then appends them to the ledger. The ledger's newest entry of a path counts, so a batch that runs again
-    after a failure adds nothing wrong."""
+    """Start a query that plans each batch of new catalogue rows against the ledger table at ledger_path (bundle_path, hash, in folders
+    batch=n), hands the tasks to sink and then writes them as the ledger's folder of that batch. The newest entry of a path
+    counts. A batch that runs again after a failure plans against the folders before its own and replaces its own; sink gets the
+    batch's number to do likewise. compact() keeps the table short."""
 
     def run(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        known = spark.read.schema("bundle_path string, hash string, batch long").parquet(ledger_path).groupBy("bundle_path").agg(F.max_by("hash", "batch").alias("hash"))
+        known = newest(batch.sparkSession, ledger_path, number)
         tasks = plan(batch, known).persist()
         sink(tasks, number)
-        tasks.select("bundle_path", F.col("bundle_hash").alias("hash"), F.lit(number).cast("long").alias("batch")).write.mode("append").parquet(ledger_path)
+        tasks.select("bundle_path", F.col("bundle_hash").alias("hash")).write.mode("overwrite").parquet(f"{ledger_path}/batch={number}")
         tasks.unpersist()
 
     return catalogues.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def newest(spark, ledger_path: str, before: int) -> DataFrame:
+    """bundle_path, hash: the newest entry of each path in the folders of batches before a number."""
+    rows = spark.read.schema("bundle_path string, hash string, batch long").option("basePath", ledger_path).parquet(ledger_path)
+    return rows.where(F.col("batch") < before).groupBy("bundle_path").agg(F.max_by("hash", "batch").alias("hash"))
+
+
+def compact(spark, ledger_path: str, before: int) -> None:
+    """Add what the folders of batches before a number come to to that of the last of them, then drop the others, for a ledger between
+    queries. A crash in between leaves entries twice, which changes nothing."""
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    fs = place(ledger_path).getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in fs.listStatus(place(ledger_path))]
+    old = sorted(n for n in (int(x.partition("=")[2]) for x in names if x.startswith("batch=")) if n < before)
+    if len(old) > 1:
+        newest(spark, ledger_path, before).write.mode("append").parquet(f"{ledger_path}/batch={old[-1]}")
+        for n in old[:-1]:
+            fs.delete(place(f"{ledger_path}/batch={n}"), True)
+
+
+#: Columns of a snapshot that a list of jobs shows.
+LISTED = ("id", "parent_job_id", "kind", "region", "status", "dry_run", "asset_version", "asset_hash", "message", "created_at", "updated_at")
+
+
+def job_list(snapshots: DataFrame) -> DataFrame:
+    """Snapshots as a list shows them, the newest first."""
+    return snapshots.select(*LISTED).orderBy(F.col("created_at").desc(), "id")
+
+
 def can_finish(status: Column) -> Column:
     """Whether a job may still fail or complete."""
     return ~status.isin(*TERMINAL)
