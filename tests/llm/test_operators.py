@@ -281,18 +281,54 @@ def test_alignment():
 # -- licences
 
 
+WRAPPED_MIT = "Permission is hereby granted, free of charge, to any person obtaining\na copy of this software and associated documentation files (the\n\"Software\"), to deal in the Software without restriction, including\nwithout limitation the rights to use, copy, modify, merge, publish."
+WRAPPED_GPL = "# This program is free software; you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation; either version 2 of the License, or\n# (at your option) any later version.\n\nimport x"
+#: Wordings that no training row has.
+UNSEEN = [
+    (WRAPPED_MIT, "mit"), (WRAPPED_GPL, "gpl"), ("The code is GPLv3, mind you.", "gpl"), ("covered by the GNU LGPL, version 2.1", "lgpl"), ("available under a Creative Commons Attribution licence", "cc-by"), ("distributed under the terms of the Apache License 2.0", "apache"),
+    ("Distributed under the BSD 2-Clause license, as is.", "bsd"), ("This crate uses the MIT licence.", "mit"), ("Published under the terms of CC BY-SA 3.0 unported.", "cc-by-sa"), ("Our module ships under the Mozilla Public License 2.0, as do its tests.", "mpl"),
+    ("This file is part of a program under the GNU Affero GPL v3.", "agpl"), ("Copyright 2020 Foo Inc. All rights reserved worldwide.", "proprietary"), ("Images: CC BY-NC 4.0, text separate.", "cc-by-nc"), ("We put this into the public domain.", "public-domain"), ("The ISC license applies to the daemon.", "isc"),
+    ("You may use this under the terms of the Example License.", "unknown"), ("He lost his driving license and walked home.", None), ("Students at MIT met the Apache people.", None), ("prose of a day\nthe cat sat on the mat", None), ("A liquor license was granted to the bar.", None),
+]
+
+
 def test_licences(spark, some):
+    assert not {t for t, _ in UNSEEN} & {t for _, t, _ in licenses.written()}
     model = licenses.LicenseModel(some)
-    texts = {1: "prose here\nReleased under the MIT License.", 2: "Licensed under CC BY-NC 4.0.", 3: "He lost his driving license and walked.", 4: "You may use this under the terms of the Example License.", 5: None, 6: "", 7: WORDS, 8: LONG, 9: "copyright 2020 x. all rights reserved.\nThis work is licensed under the GNU General Public License, version 3."}
-    found = sorted((r.doc_id, r.place, r.family) for r in licenses.scan_licenses(documents(spark, [*texts.items(), (None, "Released under the MIT License.")]).where("true"), model).collect() if r.doc_id)
-    assert found == [(1, 1, "mit"), (2, 0, "cc-by-nc"), (4, 0, "unknown"), (9, 0, "proprietary"), (9, 1, "gpl")]
-    held = [(i, f"By the way: {t}") for i, t in enumerate(x for k, v in sorted(licenses.NOTICES.items()) for x in v)]
-    families = [k for k, v in sorted(licenses.NOTICES.items()) for _ in v]
-    got = {r.doc_id: r.family for r in licenses.scan_licenses(documents(spark, held), model).collect()}
-    assert sum(got.get(i) == f for i, f in enumerate(families)) >= 0.9 * len(families)
+    texts = [*enumerate(t for t, _ in UNSEEN), (100, None), (101, ""), (102, WORDS), (103, LONG), (104, "prose here\nReleased under the MIT License."), (105, "Copyright 2020 x. All rights reserved.\n\nThis work is licensed under the GNU General Public License, version 3."), (None, "Released under the MIT License."), (104, "prose here\nReleased under the MIT License.")]
+    found = licenses.scan_licenses(documents(spark, texts), model).collect()
+    got = {}
+    for r in found:
+        got.setdefault(r.doc_id, []).append((r.kind, r.place, r.family))
+    right = [k for k, (_, family) in enumerate(UNSEEN) if {f for _, _, f in got.get(k, [])} == ({family} if family else set())]
+    assert len(right) >= 0.9 * len(UNSEEN), sorted(set(range(len(UNSEEN))) - set(right))
+    assert got[0] == [("block", 0, "mit")] and got[1] == [("block", 0, "gpl")]
+    assert {k: sorted(v) for k, v in got.items() if k is None or k >= 100} == {104: [("line", 1, "mit")] * 2, 105: [("line", 0, "proprietary"), ("line", 2, "gpl")], None: [("line", 0, "mit")]}
+    assert all(0 <= r.probability <= 1 and 0 <= r.similarity <= 1 for r in found)
     assert licenses.scan_licenses(empty(spark), model).count() == 0
 
 
+def test_blocks_are_runs_of_short_lines(spark):
+    r = random.Random(4)
+    texts = {k: [r.choice(["", " ", "a b", " # c ", "x" * 100, "y" * 101, "é" * 99]) for _ in range(r.randint(1, 12))] for k in range(200)}
+    rows = licenses.paragraphs(documents(spark, [(k, "\n".join(x)) for k, x in texts.items()])).collect()
+    for doc, lines in texts.items():
+        got = {(p.kind, p.place, p.paragraph) for p in rows if p.doc_id == doc}
+        runs, want = [], {("line", k, x) for k, x in enumerate(lines)}
+        for x in lines:
+            if runs and x.strip() and len(x) <= 100 and runs[-1][-1].strip() and len(runs[-1][-1]) <= 100:
+                runs[-1].append(x)
+            else:
+                runs.append([x])
+        want |= {("block", k, licenses.JOIN.join(x)) for k, x in enumerate(runs) if len(x) > 1}
+        assert got == want
+
+
+def test_licences_without_prose(spark):
+    model = licenses.LicenseModel(empty(spark))
+    assert [r.family for r in licenses.scan_licenses(documents(spark, [(1, "Released under the MIT License.")]), model).collect()] == ["mit"]
+
+
 # -- quality
 
 
