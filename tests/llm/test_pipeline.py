@@ -4,13 +4,14 @@ import random
 
 import public_tokenizers  # noqa: F401
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tests.test_queries import duck, rows  # noqa: F401
 from tidemark.llm.registry import ORACLE_SQL, QUERIES
 
-from .rows import documents
+from .rows import LONG, documents
 
 
 def test_stages(spark, tmp_path):
@@ -35,6 +36,31 @@ def test_stages(spark, tmp_path):
         assert [i for p in pieces for i in p.ids] == t.encode(text[doc], add_special_tokens=False).ids + [0]
 
 
+def test_run_on_odd_rows(spark, tmp_path):
+    good = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").join(spark.read.parquet("/root/testdata/sf0.001/labels.parquet").where("quality = 1 AND toxic = 0"), "doc_id")
+    good = [r.text for r in good.where("n_chars BETWEEN 2000 AND 6000 AND lang = 'en' AND text NOT RLIKE '[0-9]'").orderBy("doc_id").limit(9).collect()]
+    benchmark = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").limit(3)
+    item = benchmark.orderBy("item_id").first().text
+    long = "\n".join(good[:8]) + "\n" + "\n".join(x[::-1] for x in good[:8]) * 8
+    texts = [(1, None), (2, ""), (3, " \n"), (4, good[0]), (4, good[0]), (5, good[0]), (None, good[1]), (None, good[1]), (6, good[2]), (7, good[3] + "\n" + item), (8, LONG), (9, "word"), (10, good[4] + " a.b@mail1.example.com"), (11, long)]
+    odd = documents(spark, texts)
+    for name, rows, items in (("odd", odd, benchmark), ("empty", odd.limit(0), benchmark), ("no items", odd, benchmark.limit(0))):
+        rows.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        items.write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    assert {4, None, 6, 10} <= {r.doc_id for r in out} <= {4, None, 6, 10, 11} and all(1 <= r.length <= 2048 for r in out)
+    assert sum(r.doc_id == 4 and r.piece == 0 for r in out) == 1 and sum(r.doc_id is None and r.piece == 0 for r in out) == 1
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
+    assert 7 in {r.doc_id for r in corpus_pipeline.run(spark, f"{tmp_path}/no items").collect()}
+
+
+def test_columns_of_documents_may_have_any_name(spark):
+    taken = ["doc", "row_id", "row_key", "gone_id", "gone_key", "_key", "_id", "key", "root", "cls", "fp", "rank", "bases", "part"]
+    docs = documents(spark, [(1, "a b c d e f g"), (2, "a b c d e f g"), (2, "a b c d e f g"), (3, "x")]).select("doc_id", "text", "lang", "source", "n_chars", *[F.lit("mine").alias(c) for c in taken])
+    kept = corpus_pipeline.near_dedup(spark, docs, "")
+    assert kept.columns == docs.columns and sorted((r.doc_id, *(r[c] for c in taken)) for r in kept.collect()) == [(1, *["mine"] * len(taken)), (3, *["mine"] * len(taken))]
+
+
 def test_near_dedup_stage_is_that_of_all_pairs(spark):
     r = random.Random(11)
     texts = []
@@ -46,6 +72,18 @@ def test_near_dedup_stage_is_that_of_all_pairs(spark):
             for place in r.sample(range(len(near)), changes):
                 near[place] = "changed"
             texts.append(" ".join(near))
+    # Many edits of one text, about as similar to it as counts, less so to each other; and edits of those.
+    base = [f"b{r.randrange(5000)}" for _ in range(300)]
+    for k in range(70):
+        near = base[:]
+        for place in r.sample(range(300), r.randint(3, 16)):
+            near[place] = f"x{r.randrange(10**6)}"
+        texts.append(" ".join(near + [f"end{j}" for j in range(k % 3 * 8)]))
+        for _ in range(k % 4):
+            closer = near[:]
+            for place in r.sample(range(300), r.randint(1, 5)):
+                closer[place] = f"y{r.randrange(10**6)}"
+            texts.append(" ".join(closer))
     texts += ["", None, "two words", "Two  words", "two others"]
     shingles = lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
     sets = [shingles((t or "").lower().split()) for t in texts]

@@ -10,6 +10,7 @@ a rank names its place in the plan.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .shared import in_arrow, materialise, text_or_empty
+from .shared import in_arrow, materialise, open_store, scratch_dir, text_or_empty
 from .tokens import encoder
 
 ROUNDS = 240
@@ -185,6 +186,52 @@ class Places:
         return self.sequence[k] + within // self.each[k], self.offset[k] + within % self.each[k] * length
 
 
+class Bases:
+    """How many pieces of a length the tasks before a task have: files in the shared folder, PARTS tasks in each, from which a task reads
+    the few rows that it needs. Over all tasks they grow with the documents, so they are not broadcast, and pieces need no join."""
+
+    PARTS = 64
+
+    def __init__(self, folder: str, capacity: int):
+        self.folder, self.width, self.known = folder, capacity + 1, {}
+
+    def __getstate__(self):
+        return self.__dict__ | {"known": {}}
+
+    def write(self, base: DataFrame) -> None:
+        """From rows (part, length, before)."""
+        folder, width, parts = self.folder, self.width, self.PARTS
+
+        def block(key: tuple, table: pa.Table) -> pa.Table:
+            part, length, before = (table[c].to_numpy() for c in ("part", "length", "before"))
+            rows = np.zeros((parts, width), "<i8")
+            rows[part % parts, length] = before
+            fs, root = open_store(folder)
+            fs.create_dir(root, recursive=True)
+            name = f"{root}/{key[0].as_py()}"
+            with fs.open_output_stream(unfinished := f"{name}.{uuid.uuid4().hex}", compression=None) as f:
+                f.write(rows.tobytes())
+            fs.move(unfinished, name)
+            return pa.table({"block": pa.array([key[0].as_py()], pa.int64())})
+
+        blocks = base.select(F.floor(F.col("part") / parts).cast("long").alias("block"), "part", "length", "before").groupBy("block").applyInArrow(block, "block long")
+        blocks.count()  # a block has at most PARTS rows for each length
+
+    def of(self, part: np.ndarray, length: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(part), np.int64)
+        for p in np.unique(part).tolist():
+            if p not in self.known:
+                fs, root = open_store(self.folder)
+                with fs.open_input_file(f"{root}/{p // self.PARTS}") as f:
+                    f.seek(p % self.PARTS * self.width * 8)
+                    if len(self.known) >= self.PARTS:
+                        self.known.clear()
+                    self.known[p] = np.frombuffer(f.read(self.width * 8), "<i8")
+            own = part == p
+            out[own] = self.known[p][length[own]]
+        return out
+
+
 def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     """Give each row of a cut_pieces table its sequence_id and offset; its other columns stay, but for part and part_rank.
 
@@ -197,17 +244,19 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
         counts[row.length] = row.n
     places = spark.sparkContext.broadcast(Places.of(plan_sequences(counts, capacity)))
     # Rows of a window: the tasks that have a piece of that length.
-    base = by_part.withColumn("before", F.coalesce(F.sum("count").over(W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("part", "length", "before")
-    ranked = pieces.join(base, ["part", "length"]).withColumn("rank", F.col("before") + F.col("part_rank")).drop("part", "part_rank", "before")
+    base = by_part.withColumn("before", F.coalesce(F.sum("count").over(W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    bases = Bases(scratch_dir(spark, "bases"), capacity)
+    bases.write(base)
 
     @F.arrow_udf("struct<sequence_id:long,offset:long>")
-    def place(length: pa.Array, rank: pa.Array) -> pa.Array:
-        sequence, offset = places.value.find(length.to_numpy(zero_copy_only=False), rank.to_numpy(zero_copy_only=False))
+    def place(part: pa.Array, length: pa.Array, part_rank: pa.Array) -> pa.Array:
+        part, length, rank = (x.to_numpy(zero_copy_only=False) for x in (part, length, part_rank))
+        sequence, offset = places.value.find(length, rank + bases.of(part, length))
         return pa.StructArray.from_arrays([pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], names=["sequence_id", "offset"])
 
-    # Only these two columns go to Python; ids, where there are any, stay in the JVM.
-    placed = ranked.withColumn("place", place("length", "rank"))
-    return placed.select(*[c for c in ranked.columns if c != "rank"], "place.sequence_id", "place.offset")
+    # Only these columns go to Python; ids, where there are any, stay in the JVM.
+    placed = pieces.withColumn("place", place("part", "length", "part_rank"))
+    return placed.select(*[c for c in pieces.columns if c not in ("part", "part_rank")], "place.sequence_id", "place.offset")
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import in_arrow, materialise, text_or_empty
+from .shared import in_arrow, materialise, parallelism, scratch_tables, text_or_empty
 
 BITS, SEGMENTS = 64, 4
 WIDTH = BITS // SEGMENTS
@@ -86,6 +86,8 @@ def pigeonring_links(fps: DataFrame, distance: int) -> DataFrame:
     """All pairs of fingerprints (fp, own) with different own at most distance (0 to 3) bits apart: (a, b), both ways round maybe."""
     if not 0 <= distance < SEGMENTS:
         raise ValueError(f"distance must be from 0 to {SEGMENTS - 1}")
+    # A small table would be read by a few tasks, each of which would make all the keys of its rows.
+    fps = fps.repartition(parallelism(fps.sparkSession), "fp")
     start = lambda i: F.lit(i << 2 * WIDTH).cast("long")
     key = lambda i, change: (F.shiftleft(segment(F.col("fp"), i), WIDTH) + segment(F.col("fp"), i + 1).bitwiseXOR(F.lit(change).cast("long")) + start(i))
     changes = [0, *(1 << k for k in range(WIDTH))] if distance >= 2 else [0]
@@ -102,14 +104,18 @@ def pigeonring_links(fps: DataFrame, distance: int) -> DataFrame:
     return index.join(probe, near).select("a", "b")
 
 
+def links(fps: DataFrame, distance: int) -> DataFrame:
+    """Edges (a, b) whose components are those of all pairs of fingerprints (column fp, each once) at most distance bits apart."""
+    clumps = connected_components(clump_links(fps, distance))
+    own = fps.join(clumps, fps["fp"] == clumps["node"], "left").select("fp", F.coalesce("root", "fp").alias("own"))
+    return pigeonring_links(own, distance).unionAll(clumps.select(F.col("node").alias("a"), F.col("root").alias("b")))
+
+
 def grouped(docs: DataFrame, distance: int = 3, shingle: int = 3) -> DataFrame:
     """doc_id, key, fp, root of its component and copies (rows of its fingerprint) of each row of docs (doc_id, text)."""
     each = materialise(fingerprints(docs, shingle), "fingerprints")
     fps = materialise(each.groupBy("fp").agg(F.count("*").alias("copies")), "classes")
-    clumps = connected_components(clump_links(fps, distance))
-    own = fps.join(clumps, fps["fp"] == clumps["node"], "left").select("fp", F.coalesce("root", "fp").alias("own"))
-    links = pigeonring_links(own, distance)
-    joined = connected_components(links.unionAll(clumps.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    joined = connected_components(links(fps.select("fp"), distance))
     roots = fps.join(joined, fps["fp"] == joined["node"], "left").select("fp", "copies", F.coalesce("root", "fp").alias("root"))
     return each.join(roots, "fp", "left").select("doc_id", "key", "fp", "root", "copies")
 
@@ -121,7 +127,8 @@ def near_duplicates(docs: DataFrame, distance: int = 3, shingle: int = 3) -> Dat
     only if none of them has a doc_id); links counts the other rows with the same fingerprint. Null and
     empty texts have fingerprint 0 and link like others. Other columns are not read.
     """
-    rows = materialise(grouped(docs, distance, shingle), "grouped")
+    with scratch_tables(docs.sparkSession) as keep:
+        rows = keep(materialise(grouped(docs, distance, shingle), "grouped"))
     least = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return rows.join(least, "root").select("doc_id", "fp", "component_id", (F.col("copies") - 1).alias("links"))
 
@@ -132,23 +139,25 @@ def keep_one(docs: DataFrame, distance: int = 3, shingle: int = 3) -> DataFrame:
     Rows without a doc_id come after all others. Of rows that share that doc_id the one of least text hash stays, of
     rows that are equal in both any one.
     """
-    return keep_first(docs, grouped(docs, distance, shingle).select("root", "doc_id", "key"))
+    with scratch_tables(docs.sparkSession) as keep:
+        return keep_first(docs, grouped(docs, distance, shingle).select("root", "doc_id", "key"), keep)
 
 
-def keep_first(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The rows of docs that keep_one leaves, if rows (root, doc_id, key) name the component of each."""
+def keep_first(docs: DataFrame, rows: DataFrame, keep) -> DataFrame:
+    """The rows of docs that keep_one leaves, if rows (root, doc_id, key) name the component of each. Columns of docs may have
+    any names. keep saves the last table from the end of the scratch tables."""
     rows = rows.groupBy("root", "doc_id", "key").agg(F.count("*").alias("n"))
     rows = materialise(rows.withColumn("place", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")), "grouped")
     first = rows.groupBy("root").agg(F.min("place").alias("first"), F.count("*").alias("rows"))
     judged = rows.join(first.where("rows > 1"), "root").where("place != first")
-    gone = materialise(judged.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")), "near-duplicates")
-    left = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_id"]) & (text_key(docs) == gone["_key"]), "left_anti")
-    if rows.where("n > 1").isEmpty():
-        return left
-    # Some rows share doc_id and text: only those meet in one place.
-    names = docs.columns
-    again = left.withColumn("_key", text_key(left)).dropDuplicates(["doc_id", "_key"])
-    return again.select(*names)
+    some_twice = not rows.where("n > 1").isEmpty()
+    gone = keep(materialise(judged.select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key")), "near-duplicates"))
+    own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs["doc_id"].cast("long").alias("row_id"), text_key(docs).alias("row_key"))
+    left = own.join(gone, F.col("row_id").eqNullSafe(F.col("gone_id")) & (F.col("row_key") == F.col("gone_key")), "left_anti")
+    if some_twice:
+        # Some rows share doc_id and text: only those meet in one place.
+        left = left.dropDuplicates(["row_id", "row_key"])
+    return left.select("doc.*")
 
 
 def op1_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
