@@ -236,6 +236,16 @@ def test_contaminated(spark):
     assert decontamination.contaminated(docs, items.limit(0)).count() == 0 and decontamination.contaminated(empty(spark), items).count() == 0
 
 
+def test_repeated_rows_and_items_that_share_an_id(spark):
+    a, b = ITEMS[0][1], " ".join(f"other{k} word" for k in range(12))
+    docs = documents(spark, [(1, WORDS + " " + a), (1, WORDS + " " + a), (2, b + " " + WORDS), (2, b), (3, WORDS), (None, b), (None, None), (4, a + " x " + b)])
+    items = spark.createDataFrame([(1, a), (1, b), (2, a), (None, b), (5, ""), (6, None), (1, a)], "item_id long, text string")
+    found = [(r.doc_id, r.item_id, r.score) for r in decontamination.contaminated(docs, items).collect()]
+    assert sorted(found, key=repr) == sorted([(1, 1, 1.0), (1, 2, 1.0), (2, 1, 1.0), (2, 1, 1.0), (2, None, 1.0), (2, None, 1.0), (None, 1, 1.0), (None, None, 1.0), (4, 1, 1.0), (4, 2, 1.0), (4, None, 1.0)], key=repr)
+    assert sorted((r.doc_id for r in decontamination.decontaminate(docs, items).collect()), key=repr) == [3, None]
+    assert decontamination.decontaminate(docs, items.limit(0)).count() == docs.count()
+
+
 def test_edited_copies_are_found_beside_exact_ones(spark):
     r = random.Random(7)
     vocabulary = [f"w{k}" for k in range(400)]
@@ -340,6 +350,22 @@ def test_quality_classifier_on_held_out_rows(spark):
     assert all(zlib.crc32(str(r.doc_id).encode()) % 3 == 1 for r in rows)
 
 
+def test_rules_as_a_column_score_as_plain_rules(spark, docs):
+    names = quality_classifier.STATISTICS
+    rules = [(((0, "<=", 3.0), (4, ">", 0.001)), 1.5), (((10, ">", 0.5),), -0.7), (((8, "<=", 0.2), (8, ">", 0.1), (0, ">", 1.0)), 0.25)]
+    for r in quality_classifier.measure(docs).withColumn("s", quality_classifier.RuleEnsemble(0.3, rules).score()).collect():
+        odds = 0.3 + sum(w for rule, w in rules if all(r[names[k]] <= x if sign == "<=" else r[names[k]] > x for k, sign, x in rule))
+        assert abs(r.s - 1 / (1 + math.exp(-odds))) < 1e-12
+
+
+def test_training_takes_the_rows_of_least_hash(spark):
+    rows = spark.range(9000).select(F.col("id").alias("doc_id"), *[F.rand(k).alias(n) for k, n in enumerate(quality_classifier.STATISTICS)])
+    labels = spark.range(9000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    few = quality_classifier.train(rows, labels, 1000)
+    least = rows.where(quality_classifier.in_training(F.col("doc_id"))).orderBy(F.xxhash64("doc_id")).limit(1000)
+    assert few == quality_classifier.train(least, labels, 1000)
+
+
 def test_quality_classifier_odd_rows(spark, docs):
     labels = lambda rows: spark.createDataFrame(rows, "doc_id long, quality int")
     for rows in ([], [(3, 1), (7, 1)], [(1, None), (None, 1)], [(i, i % 2) for i in range(1, 11)]):

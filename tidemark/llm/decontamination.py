@@ -175,15 +175,16 @@ def contaminated(docs: DataFrame, items: DataFrame, copy: float = COPY) -> DataF
     """doc_id, text_key, item_id, score: the texts of docs (doc_id, text) that hold a copy of an item (item_id, text), and
     the best alignment's part of the greatest possible score.
 
-    Null and empty texts hold none; items of fewer than GRAM words are not sought. Rows that agree in doc_id and text are
-    one. Other columns are not read.
+    Null and empty texts hold none; items of fewer than GRAM words, null ones too, are not sought. Rows that agree in doc_id and text are
+    one, and of items that share an id the best score counts. Other columns are not read.
     """
     windows = item_windows(items)
     seeds = windows.select("item_id", "win", F.explode("grams").alias("gram")).distinct()
     # A table between the two Python steps: in one stage each task would hold two Python workers.
     found = materialise(passages(docs, GramFilter(seeds)), "passages")
     near = found.withColumn("gram", F.explode("grams")).drop("grams")
-    pairs = near.join(seeds, "gram").join(windows.select("item_id", "win", "words"), ["item_id", "win"]).select("doc_id", "text_key", "item_id", "win", "words", "passage")
+    texts = windows.select(F.col("item_id").alias("of"), F.col("win").alias("nr"), "words")
+    pairs = near.join(seeds, "gram").join(texts, F.col("item_id").eqNullSafe(F.col("of")) & (F.col("win") == F.col("nr"))).select("doc_id", "text_key", "item_id", "win", "words", "passage")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple = ()
@@ -193,11 +194,11 @@ def contaminated(docs: DataFrame, items: DataFrame, copy: float = COPY) -> DataF
             for doc_id, key, item, win, words, passage in zip(*(c.to_pylist() for c in b.columns)):
                 if last != (doc_id, key, passage):  # rows of one passage follow each other
                     last, done = (doc_id, key, passage), {}
-                if (item, win) not in done:
+                if (item, words) not in done:  # items may share an id
                     a, b_ = np.frombuffer(words, "u8"), np.frombuffer(passage, "u8")
                     # A copy has MATCH * len(a) * (1 - copy) words more than the window at most: each costs 1.
                     possible = most_possible(a, b_, len(a) + int(MATCH * len(a) * (1 - copy)) + 1) >= copy * MATCH * len(a)
-                    done[item, win] = s = align(a.tolist(), b_.tolist()) / (MATCH * len(a)) if possible else 0.0
+                    done[item, words] = s = align(a.tolist(), b_.tolist()) / (MATCH * len(a)) if possible else 0.0
                     if possible and s >= copy:
                         for column, value in zip(out, (doc_id, key, item, s)):
                             column.append(value)
@@ -207,7 +208,8 @@ def contaminated(docs: DataFrame, items: DataFrame, copy: float = COPY) -> DataF
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, copy: float = COPY) -> DataFrame:
-    """The rows of docs that hold no copy of an item, with all their columns."""
+    """The rows of docs that hold no copy of an item, with all their columns; equal rows fare alike. Null and empty texts stay, and without
+    items all rows do."""
     found = materialise(contaminated(docs, items, copy).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct(), "contaminated")
     return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found["_id"]) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == found["_key"]), "left_anti")
 
