@@ -163,7 +163,7 @@ def job_listing(spark, d):
 
 
 @query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'completed' ELSE 'running' END AS status, event_id % 3 <> 0 AS open FROM events")
-def open_jobs(spark, d):
+def unfinished_jobs(spark, d):
     status = F.when(F.col("event_id") % 3 == 0, "completed").otherwise("running")
     return table(spark, d, "events").select("event_id", status.alias("status"), progress.can_finish(status).alias("open"))
 
