@@ -9,6 +9,7 @@ from .pii import op6_pii
 from .quality_classifier import op5_quality_classifier
 from .quality_rules import OP8_SQL, op8_quality_rules
 from .simhash import op1_simhash_near_dedup
+from .spelling import op13_spelling_variants
 from .token_counts import op7_token_counts
 from .token_records import op2_token_records
 from .warc import op9_warc
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_warc": op9_warc,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 OP9_SQL = """
