@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .conversations import op12_conversation_repair
 from .decontamination import op3_decontamination
 from .licenses import op4_license_scan
 from .packing import op10_best_fit_packing
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_warc": op9_warc,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_spelling_variants": op13_spelling_variants,
 }
 
