@@ -13,6 +13,7 @@ from .simhash import op1_simhash_near_dedup
 from .spelling import op13_spelling_variants
 from .token_counts import op7_token_counts
 from .token_records import op2_token_records
+from .vector_packing import op11_vector_packing
 from .warc import op9_warc
 
 QUERIES = {
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_warc": op9_warc,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_vector_packing": op11_vector_packing,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_spelling_variants": op13_spelling_variants,
 }
