@@ -113,10 +113,11 @@ def candidates(text: str, kept: list[tuple[int, int, int]], dropped: list[tuple[
         return []
     taken, out = sorted((a, b) for _, a, b in kept), []
     starts = np.array([a for a, _ in taken])
+    ends = np.maximum.accumulate(np.array([b for _, b in taken])) if taken else starts  # the last end of spans up to each
     last = -1
     for kind, a, b, source in sorted(found, key=lambda x: (x[1], x[0], -x[2])):
         k = int(np.searchsorted(starts, b)) if taken else 0
-        if a >= last and not any(x < b and y > a for x, y in taken[max(0, k - 4) : k]):
+        if a >= last and not (k and ends[k - 1] > a):
             out.append((kind, a, b, source))
             last = b
     return out
