@@ -85,10 +85,10 @@ def write_archives(pages: DataFrame, folder: str, partitions: int | None = None)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"), F.sha1(payload).alias("digest"), F.length(payload).cast("long").alias("size"))
     # Partial maxima first: a payload that a third of all rows share is a row of each task here.
     kept = rows.where(F.col("size") >= LEAST_REVISIT).groupBy("digest").agg(F.max("page_id").alias("kept"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("of"), "kept")
-    # Small payloads seek no other; each goes its own way, as a popular or empty one would meet in one task.
-    asked = F.when(F.col("size") >= LEAST_REVISIT, F.col("digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("url", "page_id").cast("string")))
-    rows = rows.withColumn("asked", asked)
-    rows = rows.join(kept, rows["asked"] == kept["of"], "left").withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("kept")), F.col("kept")))
+    # Who revisits whom is decided without payloads; then each page gets its own answer.
+    large = rows.where(F.col("size") >= LEAST_REVISIT).select("page_id", "digest")
+    revisits = large.join(kept, large["digest"] == kept["of"]).where(~F.col("page_id").eqNullSafe(F.col("kept"))).select(F.col("page_id").alias("asks"), "of", F.col("kept").alias("refers_to")).distinct()
+    rows = rows.join(revisits, rows["page_id"].eqNullSafe(revisits["asks"]) & (rows["digest"] == revisits["of"]), "left")
     rows = rows.select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"), "size", "digest", "refers_to")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
