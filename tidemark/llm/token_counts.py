@@ -1,7 +1,7 @@
 """Token counts of documents under a unigram vocabulary, by dynamic programming shared over a trie.
 
-The count of a text is the sum over its pre-tokens (a word with the space before it), and a pre-token's is the number of
-pieces in its likeliest segmentation. Distinct pre-tokens in byte order are a trie walked depth first: what one shares with
+The count of a text is the sum over its pre-tokens, which make it up without a gap: a word with the space before it, if there is one, or
+a run of other white space. A pre-token's count is the number of pieces in its likeliest segmentation. Distinct pre-tokens in byte order are a trie walked depth first: what one shares with
 the one before it is a path already walked, and the forward scores along that path are kept on a stack. So the scores of each
 shared prefix are computed once, in memory that follows the longest pre-token. Counts of pre-tokens, the trie's terminals, stay in
 a bounded table of the worker process, as pre-tokens come back in later batches.
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import math
+import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -19,11 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import in_arrow, text_or_empty
+from .tokens import SPACE
 
 #: A piece of rank r has probability in proportion to 1 / (r + OFFSET).
 OFFSET = 2.7
 #: Pre-tokens whose counts a worker keeps; the table is emptied when it is full.
 KEEP = 800_000
+PRE_TOKEN = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?= [^{SPACE}])|[{SPACE}]+")
 
 
 class Unigrams:
@@ -37,7 +40,7 @@ class Unigrams:
             raise ValueError(f"{path} does not have every single byte")
         # The trie of reversed pieces: each ending of a piece, with its score or, if it is none itself, None.
         self.endings: dict[bytes, float | None] = {p[k:]: None for p in self.scores for k in range(1, len(p))} | self.scores
-        self.kept: dict[bytes, int] = {}
+        self.kept: dict[str, int] = {}
 
     def terminals(self, pre_tokens: Iterable[bytes]) -> dict[bytes, int]:
         """The number of pieces of each pre-token. Of equally likely segmentations the one with fewest pieces counts."""
@@ -68,9 +71,9 @@ class Unigrams:
         """(pre-tokens, tokens) of each text."""
         if len(self.kept) > KEEP:
             self.kept.clear()
-        words = [Counter(t.encode("utf-8", "surrogatepass").split()) for t in texts]
-        new = {w for c in words for w in c if w not in self.kept}
-        found = {k[1:]: n for k, n in self.terminals(b" " + w for w in new).items()}
+        words = [Counter(PRE_TOKEN.findall(t)) for t in texts]
+        new = {w.encode("utf-8", "surrogatepass"): w for c in words for w in c if w not in self.kept}
+        found = {new[w]: n for w, n in self.terminals(new).items()}
         self.kept.update((w, n) for w, n in found.items() if len(w) <= 64)
         return [(c.total(), sum(k * (found[w] if w in found else self.kept[w]) for w, k in c.items())) for c in words]
 
