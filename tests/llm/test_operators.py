@@ -116,18 +116,33 @@ def test_plans_hold_all_pieces(seed):
 def best_count(word, scores):
     best = [(0.0, 0)]
     for end in range(1, len(word) + 1):
-        best.append(max(((best[b][0] + scores[word[b:end]], best[b][1] - 1) for b in range(max(0, end - 16), end) if word[b:end] in scores)))
+        best.append(max(((best[b][0] + scores[word[b:end]], best[b][1] - 1) for b in range(max(0, end - 128), end) if word[b:end] in scores)))
     return -best[-1][1]
 
 
+def pre_tokens(text):
+    """By runs: the last space of a run goes to the word behind it."""
+    out = []
+    for run in re.findall("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+|[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+", text):
+        if out and out[-1][-1:] == " " and not re.fullmatch("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+", run):
+            out[-1:] = [out[-1][:-1], " " + run] if len(out[-1]) > 1 else [" " + run]
+        else:
+            out.append(run)
+    return out
+
+
 def test_token_counts(spark, docs, some):
     m = token_counts.Unigrams(RANKS)
     words = sorted({w for r in some.limit(40).collect() for w in r.text.encode().split()})[:3000]
     got = m.terminals(b" " + w for w in words)
     assert [w for w in words if got[b" " + w] != best_count(b" " + w, m.scores)] == []
-    rows = {(r.doc_id, r.n_pretokens): r.n_tokens for r in token_counts.count_tokens(docs, RANKS).collect()}
-    n = lambda t: sum(best_count(b" " + w, m.scores) * k for w, k in Counter((t or "").encode().split()).items())
-    assert all(rows[r.doc_id, len((r.text or "").encode().split())] == n(r.text) for r in docs.collect())
+    more = documents(spark, [(20, "\n\n\n\n"), (21, "    a\n\n\tb"), (22, "a b"), (23, " x  y \n z "), (24, "\u3000\u2028q\x85 r\x1fs"), (25, "def f(x):\n        return x\n\n\n")])
+    both = docs.unionByName(more).collect()
+    rows = {(r.doc_id, r.n_pretokens): r.n_tokens for r in token_counts.count_tokens(docs.unionByName(more), RANKS).collect()}
+    seen = {}
+    n = lambda t: sum((seen.get(w) or seen.setdefault(w, best_count(w.encode(), m.scores))) * k for w, k in Counter(pre_tokens(t or "")).items())
+    assert all(rows[r.doc_id, len(pre_tokens(r.text or ""))] == n(r.text) for r in both)
+    assert all(x > 0 for (doc, _), x in rows.items() if doc in range(20, 26)) and rows[21, 4] > rows[22, 2]
     assert token_counts.count_tokens(empty(spark), RANKS).count() == 0
 
 
@@ -266,6 +281,35 @@ def test_edited_copies_are_found_beside_exact_ones(spark):
     assert len(want) > 150 and got == want
 
 
+def test_recall_beside_common_copies(spark, monkeypatch):
+    """Copies with words changed, added and left out, where exact copies make all n-grams common; the rarest of each block find them."""
+    monkeypatch.setattr(decontamination, "RARE", 3)
+    r = random.Random(11)
+    vocabulary = [f"w{k}" for k in range(2000)]
+    items = [(k, " ".join(r.choices(vocabulary, k=r.randint(15, 59)))) for k in range(60)]
+    texts = [(10_000 + 10 * k + c, f"{c} {t} {c}") for k, t in items for c in range(8)]
+    for k, text in items:
+        for case, share in enumerate((0.08, 0.12, 0.16)):
+            out = []
+            for w in text.split():
+                x = r.random() / share
+                out += [w] if x > 1 else [r.choice(vocabulary)] if x < 1 / 3 else [w, r.choice(vocabulary)] if x < 2 / 3 else []
+            texts.append((10 * k + case, " ".join(r.choices(vocabulary, k=50) + out + r.choices(vocabulary, k=50))))
+    got = {(x.doc_id, x.item_id) for x in decontamination.contaminated(documents(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    words = {k: decontamination.words_of(t) for k, t in items}
+    want = {(i, k) for i, t in texts for k in [i // 10 if i < 10_000 else (i - 10_000) // 10] if decontamination.align(words[k], decontamination.words_of(t)) >= 0.6 * 2 * len(words[k])}
+    assert got <= want and len(got) >= 0.97 * len(want) and len(want) > 600
+    assert len([x for x in got if x[0] < 10_000]) >= 0.9 * len([x for x in want if x[0] < 10_000]) > 100
+
+
+def test_short_items(spark):
+    items = spark.createDataFrame([(1, "Xyzzy"), (2, "plugh maze"), (3, "..."), (4, "one two three")], "item_id long, text string")
+    docs = documents(spark, [(1, "say xyzzy now"), (2, "a plugh, maze"), (3, "plugh the maze"), (4, "maze plugh"), (5, "XYZZY plugh MAZE one two three")])
+    assert sorted((r.doc_id, r.item_id) for r in decontamination.contaminated(docs, items).collect()) == [(1, 1), (2, 2), (5, 1), (5, 2), (5, 4)]
+    with pytest.raises(ValueError):
+        decontamination.contaminated(docs, items, 0.4)
+
+
 def test_stretches_of_long_items_are_found_wherever_they_lie(spark):
     items = [(1, " ".join(f"a{k}" for k in range(128))), (2, " ".join(f"b{k}" for k in range(300)))]
     texts = [(1000 * i + k, f"before it {' '.join(t.split()[k : k + n])} after it") for i, t in items for n in (39, 70) for k in range(n % 2, len(t.split()) - n, 6)]
@@ -288,6 +332,22 @@ def test_alignment():
         assert decontamination.align(a, b) == slow_align(a, b)
 
 
+# -- personal data: candidates beside base spans
+
+
+def test_candidates_do_not_overlap_base_spans():
+    r = random.Random(3)
+    parts = ["1.1.1.1%", "2.2.2.2%", "5.5.5.5%", "555-123-4567", "@x.com", "a@b.co", " ", "+44 20 7946 0958", "x(at)y.org", "4111 1111 1111 1111", "12345678901234567890", "call "]
+    texts = ["1.1.1.1%2.2.2.2%3.3.3.3%4.4.4.4%5.5.5.5%555-123-4567@x.com"] + ["".join(r.choices(parts, k=r.randint(2, 14))) for _ in range(4000)]
+    met = 0
+    for t in texts:
+        kept, dropped = pii.base_spans(t)
+        found = pii.candidates(t, kept, dropped)
+        met += len(found)
+        assert not [(x, y) for x in found for y in kept if y[1] < x[2] and y[2] > x[1]], t
+    assert met > 1000
+
+
 # -- licences
 
 

@@ -1,9 +1,11 @@
-"""Benchmark decontamination: word n-grams of test items find passages, word alignment decides.
-
-Every n-gram of an item is a seed, however often it occurs: which ones outlast the edits of a copy is not known before.
-One pass over the texts takes the passages around seeds, and a join names the items that a passage may come from. A bound on
-the score, from the words that both have, drops most chance meetings; a Smith-Waterman alignment over words scores the
-rest: copies with words changed, added or left out align too.
+"""Benchmark decontamination: rare word n-grams of test items find passages, word alignment decides.
+
+One pass over the texts takes the passages around n-grams of the items, and counts in how many passages each occurs. Seeds are all n-grams that are rare
+in that count, and of each block of neighbouring ones the rarest that occurs: so a common n-gram does not tie all its passages to all
+its items, and a copy whose n-grams are all common is found by one of each block that outlasts its edits. A join by seeds
+names the windows of items that a passage may come from; it holds keys alone, and equal passages are one in it.
+A bound on the score, from the words that both have, drops most chance meetings; a Smith-Waterman alignment over words
+scores the rest: copies with words changed, added or left out align too.
 """
 
 from __future__ import annotations
@@ -20,6 +22,10 @@ from pyspark.sql import functions as F
 from .shared import in_arrow, materialise, text_or_empty
 
 GRAM = 3
+#: An n-gram is rare in up to this many passages, or this part of all.
+RARE, RARE_PART = 64, 1e-4
+#: Neighbouring n-grams of which the rarest is a seed in any case.
+BLOCK = 4
 #: Items are aligned in windows of at most this many words.
 WINDOW = 64
 #: A window starts each quarter of a window: what is enough of it for a copy is whole in one, wherever it lies.
@@ -69,7 +75,9 @@ def gram_hashes(h: np.ndarray, n: int = GRAM) -> np.ndarray:
 
 
 class GramFilter:
-    """Which hashes may be among some n-grams: exactly, or for very many of them by a table of fixed size."""
+    """Which hashes may be among some n-grams: exactly, or for very many of them by a table of fixed size. What the table lets through by chance
+    makes passages more or longer, but no n-gram of an item: the join by seeds is exact, and an alignment without an n-gram in
+    common scores 0.5 at most."""
 
     def __init__(self, grams: DataFrame):
         grams = grams.select("gram").distinct()
@@ -107,9 +115,9 @@ class GramFilter:
 
 
 def item_windows(items: DataFrame) -> DataFrame:
-    """Items (item_id, text) in overlapping windows of equal length: item_id, win, words (their hashes), grams. Items of fewer
-    words than an n-gram have none. A shared-folder table."""
-    schema = pa.schema([("item_id", pa.int64()), ("win", pa.int32()), ("words", pa.binary()), ("grams", pa.list_(pa.int64()))])
+    """Items (item_id, text) in overlapping windows of equal length: item_id, words (their hashes), n, grams of n words (fewer than
+    GRAM for an item of fewer, which is one itself; none for one without words). A shared-folder table."""
+    schema = pa.schema([("item_id", pa.int64()), ("words", pa.binary()), ("n", pa.int32()), ("grams", pa.list_(pa.int64()))])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -119,16 +127,17 @@ def item_windows(items: DataFrame) -> DataFrame:
                 parts = max(1, -(-len(words) // WINDOW))
                 size, steps = -(-len(words) // parts), STEPS * (parts - 1)
                 starts = [(len(words) - size) * k // steps for k in range(steps)] + [len(words) - size]
-                out += [{"item_id": item_id, "win": k, "words": words[x : x + size].tobytes(), "grams": gram_hashes(words[x : x + size]).tolist()} for k, x in enumerate(starts) if size >= GRAM]
+                n = min(GRAM, size)
+                out += [{"item_id": item_id, "words": words[x : x + size].tobytes(), "n": n, "grams": gram_hashes(words[x : x + size], n).tolist()} for x in starts if n]
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), text_or_empty().alias("text"))
-    return materialise(in_arrow(rows, cut, "item_id long, win int, words binary, grams array<long>"), "items")
+    return materialise(in_arrow(rows, cut, "item_id long, words binary, n int, grams array<long>"), "items")
 
 
-def passages(docs: DataFrame, sought: GramFilter) -> DataFrame:
-    """doc_id, text_key (a hash of the whole text), passage (its words' hashes) and the sought n-grams in it. Each has AROUND
-    words before and after its seeds, so a copy is whole in the passage of any of its seeds."""
+def passages(docs: DataFrame, sought: GramFilter, lengths: list[int]) -> DataFrame:
+    """doc_id, text_key (a hash of the whole text), passage (its words' hashes) and the sought n-grams of these lengths in it. Each has AROUND
+    words before and after its n-grams, so a copy is whole in the passage of any of its n-grams."""
     schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("passage", pa.binary()), ("grams", pa.list_(pa.int64()))])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,11 +145,14 @@ def passages(docs: DataFrame, sought: GramFilter) -> DataFrame:
             out = []
             for i, text in enumerate(b.column(2)):
                 words = word_hashes(words_of(text.as_py()))
-                h = gram_hashes(words)
-                if len(at := sought.places(h)):
+                hashes = [gram_hashes(words, n) for n in lengths]
+                places = [sought.places(h) for h in hashes]
+                at = places[0] if len(places) == 1 else np.unique(np.concatenate(places))
+                if len(at):
                     for near in np.split(at, np.flatnonzero(np.diff(at) > AROUND) + 1):
                         for run in np.split(near, np.flatnonzero(np.diff((near - near[0]) // SPAN)) + 1):
-                            out.append({"doc_id": b.column(0)[i].as_py(), "text_key": b.column(1)[i].as_py(), "passage": words[max(0, run[0] - AROUND) : run[-1] + GRAM + AROUND].tobytes(), "grams": np.unique(h[run]).tolist()})
+                            grams = np.concatenate([h[p[(p >= run[0]) & (p <= run[-1])]] for h, p in zip(hashes, places)])
+                            out.append({"doc_id": b.column(0)[i].as_py(), "text_key": b.column(1)[i].as_py(), "passage": words[max(0, run[0] - AROUND) : run[-1] + GRAM + AROUND].tobytes(), "grams": np.unique(grams).tolist()})
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("text_key"), text_or_empty().alias("text"))
@@ -171,40 +183,53 @@ def align(item: list[str], passage: list[str]) -> int:
     return best
 
 
+def chosen_seeds(windows: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, gram) of windows (key, grams, in order) for passages (pid, grams): the rare n-grams and the rarest of each block, of those that occur."""
+    times = found.select("pid", F.explode("grams").alias("gram")).distinct().groupBy("gram").agg(F.count("*").alias("times"))
+    bound = F.greatest(F.lit(RARE).cast("double"), F.col("passages") * RARE_PART)
+    grams = windows.select("key", F.posexplode("grams").alias("pos", "gram")).join(times, "gram").crossJoin(F.broadcast(found.agg(F.count("*").alias("passages"))))  # one row
+    grams = grams.withColumn("block", F.floor(F.col("pos") / BLOCK))
+    rarest = grams.groupBy("key", "block").agg(F.min(F.struct("times", "gram")).alias("b")).select("key", F.col("b.gram").alias("gram"))
+    return rarest.unionByName(grams.where(F.col("times") <= bound).select("key", "gram")).distinct()
+
+
 def contaminated(docs: DataFrame, items: DataFrame, copy: float = COPY) -> DataFrame:
     """doc_id, text_key, item_id, score: the texts of docs (doc_id, text) that hold a copy of an item (item_id, text), and
-    the best alignment's part of the greatest possible score.
+    the best alignment's part of the greatest possible score, of the best window where an item is longer than one.
 
-    Null and empty texts hold none; items of fewer than GRAM words, null ones too, are not sought. Rows that agree in doc_id and text are
-    one, and of items that share an id the best score counts. Other columns are not read.
+    copy, from 0.5 on, is the part that counts; an item of one or two words counts where it occurs as it is. Null and empty texts hold none; items without
+    words, null ones too, are not sought. Rows that agree in doc_id and text are one, and of items that share an id the best score counts.
+    Other columns are not read.
     """
-    windows = item_windows(items)
-    seeds = windows.select("item_id", "win", F.explode("grams").alias("gram")).distinct()
+    if not 0.5 < copy <= 1:
+        raise ValueError("copy must lie above 0.5: below it alignments without an n-gram in common would count")
+    windows = item_windows(items).withColumn("key", F.xxhash64("words"))
+    of = windows.select("item_id", "key").distinct()
+    each = windows.groupBy("key").agg(F.first("words").alias("words"), F.first("grams").alias("grams"), F.first("n").alias("n"))
+    lengths = sorted(r.n for r in windows.select("n").distinct().collect()) or [GRAM]  # GRAM at most
     # A table between the two Python steps: in one stage each task would hold two Python workers.
-    found = materialise(passages(docs, GramFilter(seeds)), "passages")
-    near = found.withColumn("gram", F.explode("grams")).drop("grams")
-    texts = windows.select(F.col("item_id").alias("of"), F.col("win").alias("nr"), "words")
-    pairs = near.join(seeds, "gram").join(texts, F.col("item_id").eqNullSafe(F.col("of")) & (F.col("win") == F.col("nr"))).select("doc_id", "text_key", "item_id", "win", "words", "passage")
+    found = materialise(passages(docs, GramFilter(windows.select(F.explode("grams").alias("gram"))), lengths).withColumn("pid", F.md5("passage")), "passages")
+    seeds = chosen_seeds(each, found)
+    met = found.select("pid", F.explode("grams").alias("gram")).join(seeds, "gram").select("pid", "key").distinct()
+    texts = found.groupBy("pid").agg(F.first("passage").alias("passage"))
+    pairs = met.join(texts, "pid").join(each.select("key", "words"), "key").select("pid", "key", "words", "passage")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple = ()
-        done: dict = {}
         for b in batches:
-            out: list[list] = [[], [], [], []]
-            for doc_id, key, item, win, words, passage in zip(*(c.to_pylist() for c in b.columns)):
-                if last != (doc_id, key, passage):  # rows of one passage follow each other
-                    last, done = (doc_id, key, passage), {}
-                if (item, words) not in done:  # items may share an id
-                    a, b_ = np.frombuffer(words, "u8"), np.frombuffer(passage, "u8")
-                    # A copy has MATCH * len(a) * (1 - copy) words more than the window at most: each costs 1.
-                    possible = most_possible(a, b_, len(a) + int(MATCH * len(a) * (1 - copy)) + 1) >= copy * MATCH * len(a)
-                    done[item, words] = s = align(a.tolist(), b_.tolist()) / (MATCH * len(a)) if possible else 0.0
-                    if possible and s >= copy:
-                        for column, value in zip(out, (doc_id, key, item, s)):
+            out: list[list] = [[], [], []]
+            for pid, key, words, passage in zip(*(c.to_pylist() for c in b.columns)):
+                a, b_ = np.frombuffer(words, "u8"), np.frombuffer(passage, "u8")
+                # A copy has MATCH * len(a) * (1 - copy) words more than the window at most: each costs 1.
+                if most_possible(a, b_, len(a) + int(MATCH * len(a) * (1 - copy)) + 1) >= copy * MATCH * len(a):
+                    s = align(a.tolist(), b_.tolist()) / (MATCH * len(a))
+                    if s >= copy:
+                        for column, value in zip(out, (pid, key, s)):
                             column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.float64()))], names=["doc_id", "text_key", "item_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.int64(), pa.float64()))], names=["pid", "key", "score"])
 
-    return in_arrow(pairs, score, "doc_id long, text_key long, item_id long, score double").groupBy("doc_id", "text_key", "item_id").agg(F.max("score").alias("score"))
+    scored = in_arrow(pairs, score, "pid string, key long, score double")
+    best = found.select("doc_id", "text_key", "pid").join(scored, "pid").join(of, "key")
+    return best.groupBy("doc_id", "text_key", "item_id").agg(F.max("score").alias("score"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, copy: float = COPY) -> DataFrame:
