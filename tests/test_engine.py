@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import codecs, paths, patterns, values
 from tidemark.operators import grouping, metrics, objects, planning
-from tidemark.sources import catalog, containers, files, sinks
+from tidemark.sources import catalog, containers, files, messagepack, sinks
+from tidemark.sources.ledger_log import LedgerLog
 from tidemark.streaming import progress
 
 
@@ -212,17 +213,18 @@ def test_progress_stream_agrees_with_batch(spark, tmp_path):
 def test_incremental_stream(spark, tmp_path):
     schema = "bundle_name string, hash string, crc long, file_size long, category string, download_path string"
     ledger, drops = str(tmp_path / "ledger"), str(tmp_path / "drops")
-    spark.createDataFrame([("start/a", "h1")], "bundle_path string, hash string").write.parquet(f"{ledger}/batch=-1")
+    LedgerLog(spark, ledger).append(spark.createDataFrame([("start/a", "h1")], "bundle_path string, hash string"), -1)
     seen = []
     plan = lambda batch, known: planning.plan(batch, known, planning.Filters(start_app=["^start/"]))
     for k, rows in enumerate([[("start/a", "h1"), ("start/b", "h1")], [("start/a", "h2"), ("start/b", "h1")]]):
         spark.createDataFrame([(n, h, 0, 0, "StartApp", None) for n, h in rows], schema).write.mode("append").parquet(drops)
         progress.incremental(spark.readStream.schema(schema).parquet(drops), ledger, plan, lambda t, n: seen.append(sorted(r.bundle_path for r in t.collect())), str(tmp_path / "cp")).awaitTermination(180)
     assert seen == [["start/b"], ["start/a"]]
-    before = sorted(map(tuple, progress.newest(spark, ledger, 9).collect()))
-    progress.compact(spark, ledger, 9)
-    assert sorted(map(tuple, progress.newest(spark, ledger, 9).collect())) == before == [("start/a", "h2"), ("start/b", "h1")]
-    assert [p.name for p in (tmp_path / "ledger").glob("batch=*")] == ["batch=1"]
+    log = LedgerLog(spark, ledger)
+    assert sorted(map(tuple, log.newest().collect())) == [("start/a", "h2"), ("start/b", "h1")] and sorted(map(tuple, log.newest(0).collect())) == [("start/a", "h1")]
+    spark.createDataFrame([("start/z", "h", 0, 0, "StartApp", None)], schema).write.parquet(str(tmp_path / "more"))
+    progress.incremental(spark.readStream.schema(schema).parquet(str(tmp_path / "more")), str(tmp_path / "no-ledger-yet"), plan, lambda t, n: seen.append(t.count()), str(tmp_path / "cp2")).awaitTermination(180)
+    assert seen[-1] == 1 and LedgerLog(spark, str(tmp_path / "no-ledger-yet")).newest().count() == 1
 
 
 def test_terminal_states(spark):
@@ -267,4 +269,4 @@ def test_lookups_that_fail(spark):
         objects.paired(batches("false")).collect()
     for cut in (b"\xa5ab", b"\xcb\0", b"\xd9", b"\xcd\1", b"\xdd\0", b""):
         with pytest.raises(ValueError):
-            catalog.unpack(cut)
+            messagepack.unpack(cut)

@@ -29,10 +29,6 @@ def is_safe(path: Column) -> Column:
     return ~F.exists(components(path), lambda c: c.isin("", ".", ".."))
 
 
-def unsafe_reason(path: Column) -> Column:
-    return F.when(path == "", "path is empty").when(~is_safe(path), "empty, current-directory, or parent-directory components are not allowed")
-
-
 def file_name(path: Column) -> Column:
     return F.element_at(components(path), -1)
 

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.paths import extension, segment_key, slashes, without_extension
+from .numbering import numbered
 
 SIGNATURE = ("type", "name", "container", "payload_kind", "suggested_extension")
 
@@ -15,15 +15,14 @@ def distinct_outputs(rows: DataFrame) -> DataFrame:
     """rows (path, payload, arrival and SIGNATURE) without repeats: of equal signatures at a path the first stays, others
     there get __dup2, __dup3 and so on in order of arrival.
 
-    Repeats go by aggregation over digests, so payloads are not shuffled; only what differs at a path meets in a window. Two nulls in
-    the same place of a signature are equal.
+    Repeats go by aggregation over digests, so payloads are not shuffled; what differs at a path is numbered by range, however many share it. Two
+    nulls in the same place of a signature are equal.
     """
     signed = rows.select("path", *SIGNATURE, "arrival", F.sha2("payload", 256).alias("signature"), F.length("payload").cast("long").alias("bytes"))
     first = signed.groupBy("path", *SIGNATURE, "signature").agg(F.min("arrival").alias("arrival"), F.first("bytes").alias("bytes"))
-    n = F.row_number().over(W.partitionBy("path").orderBy("arrival"))
     path = F.col("path")
     suffixed = F.concat(without_extension(path), F.lit("__dup"), F.col("n").cast("string"), F.coalesce(F.concat(F.lit("."), extension(path)), F.lit("")))
-    return first.withColumn("n", n).withColumn("output", F.when(F.col("n") == 1, path).otherwise(suffixed)).drop("n")
+    return numbered(first, ["path"], ["arrival"]).withColumn("output", F.when(F.col("n") == 1, path).otherwise(suffixed)).drop("n")
 
 
 def _joined(parts: Column) -> Column:

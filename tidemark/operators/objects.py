@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import bound, extension, file_name, fix_file_name, semantic_stem, slashes, strip_prefix, without_extension
 from ..functions.values import IMAGES, READ_KIND, UNREADABLE, lookup, normal_type, type_matches
+from .numbering import numbered
 
 # Folders of objects that share a container's file, and extensions by payload kind and by type.
 FOLDERS = {"sprite": "sprite", "mesh": "mesh", "animator": "animator", "monobehaviour": "monobehaviour", "monobehavior": "monobehaviour", "texture2darray": "texture2d_array", "texture2darrayimage": "texture2d_array", "monoscript": "monoscript", "gameobject": "gameobject", "material": "material", "transform": "transform", "recttransform": "recttransform", "particlesystem": "particle_system", "particlesystemrenderer": "particle_system_renderer", "spriterenderer": "sprite_renderer", "spritemask": "sprite_mask", "meshfilter": "mesh_filter", "meshrenderer": "mesh_renderer", "skinnedmeshrenderer": "skinned_mesh_renderer", "playabledirector": "playable_director", "canvas": "canvas", "canvasrenderer": "canvas_renderer", "camera": "camera", "avatar": "avatar", "audiolistener": "audio_listener", "animation": "animation", "animationclip": "animation_clip", "textmesh": "text_mesh", "sortinggroup": "sorting_group", "cubemap": "cubemap", "texture3d": "texture3d", "shader": "shader", "shadervariantcollection": "shader"}
@@ -29,7 +30,8 @@ def enabled(kind: Column, selectors: list[str]) -> Column:
 
 
 def is_image(kind: Column) -> Column:
-    return kind.isin(IMAGES)
+    """Whatever the type's spelling."""
+    return normal_type(kind).isin([t.lower() for t in IMAGES])
 
 
 def is_playable(kind: Column, read_kind: Column, container: Column) -> Column:
@@ -37,14 +39,14 @@ def is_playable(kind: Column, read_kind: Column, container: Column) -> Column:
 
 
 def array_parents(objects: DataFrame) -> DataFrame:
-    """Containers, by bundle, that hold a texture array."""
-    return objects.where((F.col("type") == "Texture2DArray") & (F.trim("container") != "")).select("bundle", F.lower(slashes(F.col("container"))).alias("_parent")).distinct()
+    """Containers, by bundle, that hold a texture array, whatever the type's spelling."""
+    return objects.where((normal_type(F.col("type")) == "texture2darray") & (F.trim("container") != "")).select("bundle", F.lower(slashes(F.col("container"))).alias("_parent")).distinct()
 
 
 def _covered(objects: DataFrame) -> tuple[DataFrame, Column]:
     """The parents, and whether an object is an image that its own array covers; those without a container never are."""
     parents = array_parents(objects).withColumnRenamed("bundle", "_bundle")
-    own = F.when((F.col("type") == "Texture2DArrayImage") & (F.trim("container") != ""), F.lower(slashes(F.col("container"))))
+    own = F.when((normal_type(F.col("type")) == "texture2darrayimage") & (F.trim("container") != ""), F.lower(slashes(F.col("container"))))
     return parents, (objects["bundle"] == parents["_bundle"]) & (own == parents["_parent"])
 
 
@@ -100,9 +102,9 @@ def read_kind(kind: Column, configured: dict[str, str]) -> Column:
 
 
 def in_chunks(objects: DataFrame, size: int) -> DataFrame:
-    """chunk: a bundle's objects in runs of size, in order of index; part: within a chunk each image by itself and runs of others together."""
-    order = W.partitionBy("bundle").orderBy("index")  # a bundle's objects
-    rows = objects.withColumn("chunk", F.floor((F.row_number().over(order) - 1) / size))
+    """chunk: a bundle's objects in runs of size, in order of index; part: within a chunk each image by itself and runs of others together. No
+    task holds a bundle: only a chunk's objects meet in a window."""
+    rows = numbered(objects, ["bundle"], ["index"], "_n").withColumn("chunk", F.floor((F.col("_n") - 1) / size)).drop("_n")
     within = W.partitionBy("bundle", "chunk").orderBy("index")
     image = is_image(F.col("type"))
     starts = image | F.coalesce(F.lag(image).over(within), F.lit(True))
@@ -158,7 +160,7 @@ def routes(payload_kind: Column, payload: Column, target: Column, kind: Column)
     text = normal_type(kind) == "textasset"
     ext = F.lower(target)
     return (
-        F.when((F.length(payload) == 0) | (F.lower(payload_kind) == "unsupported"), "skip")
+        F.when(payload.isNull() | (F.length(payload) == 0) | (F.lower(payload_kind) == "unsupported"), "skip")
         .when(text & ext.rlike(r"\.acb(\.bytes)?$"), "audio_archive").when(text & ext.rlike(r"\.usm(\.bytes)?$"), "video_archive")
         .when(payload_kind.isin(BUNDLED), "several").when(F.startswith(payload_kind, F.lit("image_")), "image").otherwise("bytes")
     )

@@ -116,14 +116,15 @@ def updated_ledger(ledger: DataFrame, done: DataFrame) -> DataFrame:
 
 def providers(known: DataFrame, selected: DataFrame) -> DataFrame:
     """The storage provider of each selection (column selector) from known (name, scheme and any more): that of the same name, or if there
-    is none the unnamed one of that scheme. The query fails where there is none or more than one. Both are configuration, a few rows."""
-    asked = selected.select(F.trim("selector").alias("selector"))
+    is none the unnamed one of that scheme. Selections that repeat are one. The query fails where there is none or more than one. Both are
+    configuration, a few rows."""
+    asked = selected.select(F.trim("selector").alias("selector")).distinct()
     named = known.withColumn("_key", F.trim(F.coalesce("name", F.lit(""))))
     by_name = asked.join(named.where("_key != ''"), F.col("selector") == F.col("_key")).withColumn("_rank", F.lit(0))
     by_scheme = asked.join(named.where("_key = ''"), F.lower("selector") == F.lower(F.trim("scheme"))).withColumn("_rank", F.lit(1))
     found = by_name.unionByName(by_scheme).groupBy("selector").agg(F.min("_rank").alias("_best"))
     chosen = by_name.unionByName(by_scheme).join(found, "selector").where("_rank = _best")
-    counts = asked.distinct().join(chosen.groupBy("selector").agg(F.count("*").alias("_n")), "selector", "left")
+    counts = asked.join(chosen.groupBy("selector").agg(F.count("*").alias("_n")), "selector", "left")
     one = F.assert_true(F.coalesce("_n", F.lit(0)) == 1, F.concat(F.lit("not exactly one storage provider: "), F.col("selector")))
     sure = counts.where(one.isNull()).select("selector")
     # From the selections, so that the check is not left out where there is no provider at all.

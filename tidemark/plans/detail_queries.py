@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import codecs, paths, values
 from ..operators import grouping, metrics, objects, planning
 from ..sources import catalog, containers, files, sinks
+from ..sources.scratch import scratch
 from ..streaming import progress
 from .queries import FILTERS, IMAGE, STAGED, TASKS, query
-from .stand_ins import CATALOGUE, OBJECTS, catalogue, ledger, ledger_sql, scratch, table
+from .stand_ins import CATALOGUE, OBJECTS, catalogue, ledger, ledger_sql, table
 from .stand_ins import objects as object_rows
 
 LEDGER = f"WITH {CATALOGUE}, {ledger_sql()} SELECT bundle_path, hash FROM ledger"

@@ -341,4 +341,4 @@ def tokyo_stamps(spark, d):
     return table(spark, d, "events").select("event_id", values.tokyo_stamp(F.col("ts")).alias("stamp"))
 
 
-from . import detail_queries  # noqa: E402, F401  (adds its queries to QUERIES)
+from . import detail_queries, source_queries  # noqa: E402, F401  (add their queries to QUERIES)

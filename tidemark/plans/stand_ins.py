@@ -2,23 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def scratch(spark: SparkSession, kind: str) -> str:
-    """A new folder below that of spark.checkpoint.dir, which a cluster shares; on one machine without it a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.conf.get("spark.master", "local").startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the cluster shares")
-        root = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-    return f"{root.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
-
-
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

@@ -2,96 +2,91 @@
 
 from __future__ import annotations
 
-import struct
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.codecs import decrypt
 from ..functions.values import category
+from .catalog_split import PIECE, RANGE, entry_pieces, plain_ranges
+from .files import open_store
+from .ledger_json import read_maps
+from .messagepack import map_head, packed, unpack
+from .ranges import SPLIT, file_list
 
 ROW = "bundle_name string, hash string, crc long, file_size long, category string, dependencies array<string>, paths array<string>, is_builtin boolean, download_path string"
 LEDGER = "bundle_path string, hash string"
 
 
-def _taken(data: bytes, at: int, n: int) -> bytes:
-    if at + n > len(data):
-        raise ValueError("MessagePack ends within a value")
-    return data[at : at + n]
-
-
-def unpack(data: bytes, at: int = 0):
-    """The MessagePack value at a place and the place after it."""
-    b = _taken(data, at, 1)[0]
-    at += 1
-    if b < 0x80:
-        return b, at
-    if b >= 0xE0:
-        return b - 256, at
-    if b < 0x90:
-        return _pairs(data, at, b & 15)
-    if b < 0xA0:
-        return _items(data, at, b & 15)
-    if b < 0xC0:
-        return _taken(data, at, b & 31).decode(), at + (b & 31)
-    if b in (0xC0, 0xC2, 0xC3):
-        return {0xC0: None, 0xC2: False, 0xC3: True}[b], at
-    if b in (0xC4, 0xC5, 0xC6, 0xD9, 0xDA, 0xDB):
-        width = {0xC4: 1, 0xC5: 2, 0xC6: 4, 0xD9: 1, 0xDA: 2, 0xDB: 4}[b]
-        n = int.from_bytes(_taken(data, at, width))
-        body = _taken(data, at + width, n)
-        return (body if b < 0xC7 else body.decode()), at + width + n
-    if b in (0xCA, 0xCB):
-        width = 4 if b == 0xCA else 8
-        return struct.unpack(">f" if width == 4 else ">d", _taken(data, at, width))[0], at + width
-    if 0xCC <= b <= 0xD3:
-        width = 1 << (b & 3)
-        return int.from_bytes(_taken(data, at, width), signed=b >= 0xD0), at + width
-    if b in (0xDC, 0xDD, 0xDE, 0xDF):
-        width = 2 if b in (0xDC, 0xDE) else 4
-        n = int.from_bytes(_taken(data, at, width))
-        return (_items if b < 0xDE else _pairs)(data, at + width, n)
-    raise ValueError(f"MessagePack type {b:#x} is not supported")
-
-
-def _items(data: bytes, at: int, n: int):
-    out = []
-    for _ in range(n):
-        value, at = unpack(data, at)
-        out.append(value)
-    return out, at
-
-
-def _pairs(data: bytes, at: int, n: int):
-    out = {}
-    for _ in range(n):
-        key, at = unpack(data, at)
-        out[key], at = unpack(data, at)
-    return out, at
-
-
-def decode(content: DataFrame) -> DataFrame:
-    """Rows of a binary column content, each a decrypted catalogue, to one row for each of its bundles. Null strings become
-    empty; the map's key names the bundle."""
-    schema = pa.schema([("bundle_name", pa.string()), ("hash", pa.string()), ("crc", pa.int64()), ("file_size", pa.int64()), ("category", pa.string()), ("dependencies", pa.list_(pa.string())), ("paths", pa.list_(pa.string())), ("is_builtin", pa.bool_()), ("download_path", pa.string())])
+ROWS = pa.schema([("bundle_name", pa.string()), ("hash", pa.string()), ("crc", pa.int64()), ("file_size", pa.int64()), ("category", pa.string()), ("dependencies", pa.list_(pa.string())), ("paths", pa.list_(pa.string())), ("is_builtin", pa.bool_()), ("download_path", pa.string()), ("file", pa.string()), ("place", pa.int64())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for cell in b.column(0):
-                whole, _ = unpack(cell.as_py())
-                rows = [{"bundle_name": name, "hash": x.get("hash") or "", "crc": x.get("crc"), "file_size": x.get("fileSize"), "category": x.get("category"), "dependencies": x.get("dependencies") or [], "paths": x.get("paths") or [], "is_builtin": x.get("isBuiltin"), "download_path": x.get("downloadPath")} for name, x in (whole.get("bundles") or {}).items()]
-                for k in range(0, len(rows), 10_000):
-                    yield pa.RecordBatch.from_pylist(rows[k : k + 10_000], schema=schema)
 
-    return content.select("content").mapInArrow(run, ROW).withColumn("category", category(F.col("category")))
+def _bundles(file: str, place: int, entries: int, data: bytes) -> Iterator[dict]:
+    at = 0
+    for _ in range(entries):
+        where = place + at
+        name, at = unpack(data, at)
+        x, at = unpack(data, at)
+        yield {
+            "bundle_name": name, "hash": x.get("hash") or "", "crc": x.get("crc"), "file_size": x.get("fileSize"), "category": x.get("category"), "dependencies": x.get("dependencies") or [],
+            "paths": x.get("paths") or [], "is_builtin": x.get("isBuiltin"), "download_path": x.get("downloadPath"), "file": file, "place": where,
+        }
+
 
+def decode(pieces: DataFrame) -> DataFrame:
+    """Pieces of entries (file, place, entries, data) to one row for each bundle, with its file and its place there. Null strings become
+    empty; the map's key names the bundle. Pieces are dealt out evenly."""
 
-def read_catalogues(spark: SparkSession, path: str, key: str | None = None, iv: str | None = None) -> DataFrame:
-    """The bundles of catalogue files, decrypted if a key is given."""
-    files = spark.read.format("binaryFile").load(path)
-    return decode(files.select(decrypt(F.col("content"), key, iv).alias("content") if key else F.col("content")))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for piece in zip(*(c.to_pylist() for c in b.columns)):
+                yield pa.RecordBatch.from_pylist(list(_bundles(*piece)), schema=ROWS)
+
+    n = max(1, int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    rows = pieces.select("file", "place", "entries", "data").repartition(n, "file", "place").mapInArrow(run, f"{ROW}, file string, place long")
+    return rows.withColumn("category", category(F.col("category")))
+
+
+def read_catalogues(spark: SparkSession, path: str, key: str | None = None, iv: str | None = None, size: int = RANGE, piece: int = PIECE) -> DataFrame:
+    """The bundles of a catalogue file, or of those in a folder, decrypted if a key is given, each decoded by many tasks. Of entries of a
+    file that share a name the last counts."""
+    rows = decode(entry_pieces(plain_ranges(file_list(spark, path), key, iv, size), piece))
+    names = [c for c in rows.columns if c not in ("bundle_name", "file", "place")]
+    last = rows.groupBy("file", "bundle_name").agg(F.max_by(F.struct(*names), "place").alias("x"))
+    return last.select("bundle_name", "x.*").select(*[c.split()[0] for c in ROW.split(", ")])
+
+
+def write_catalogues(bundles: DataFrame, folder: str) -> DataFrame:
+    """Write bundles (file, bundle_name, hash, crc, file_size, category) as plain catalogue files, one for each file, and return (file, entries);
+    they are written when that is evaluated. An entry at a time is held, not a file; a map's size stands before it, so it is counted first."""
+    sizes = bundles.groupBy(F.col("file").alias("_file")).agg(F.count("*").alias("entries"))
+    rows = bundles.join(sizes, F.col("file") == F.col("_file")).select("file", "entries", "bundle_name", "hash", "crc", "file_size", "category")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = open_store(folder)
+        fs.create_dir(root, recursive=True)
+        done, last, f, unfinished = [], None, None, ""
+
+        def finish() -> None:
+            if f is not None:
+                f.close()
+                fs.move(unfinished, f"{root}/{last}")
+
+        for batch in batches:
+            for file, n, name, digest, crc, size, kind in zip(*(c.to_pylist() for c in batch.columns)):
+                if file != last:
+                    finish()
+                    last, unfinished = file, f"{root}/.{file}.{uuid.uuid4().hex}"
+                    f = fs.open_output_stream(unfinished, compression=None)
+                    f.write(map_head(2) + packed("version") + packed("1") + packed("bundles") + map_head(n))
+                    done.append({"file": file, "entries": n})
+                f.write(packed(name) + packed({"hash": digest, "crc": crc, "fileSize": size, "category": kind}))
+        finish()
+        yield pa.RecordBatch.from_pylist(done, schema=pa.schema([("file", pa.string()), ("entries", pa.int64())]))
+
+    return rows.repartition("file").sortWithinPartitions("file", "bundle_name").mapInArrow(write, "file string, entries long")
 
 
 def _hadoop(spark: SparkSession, path: str):
@@ -99,26 +94,23 @@ def _hadoop(spark: SparkSession, path: str):
     return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
-def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """JSON maps of paths to hashes as rows (bundle_path, hash): a file with one map, pretty or not, or files with a map a line.
+def read_ledger(spark: SparkSession, path: str, split: int = SPLIT) -> DataFrame:
+    """JSON maps of paths to hashes as rows (bundle_path, hash): a file, or the files of a folder, with maps of any layout, one after another
+    too. Of a key that repeats the last counts, files in order of name.
 
-    Files are read by line, so a large one is split among tasks. A missing file counts as empty. A corrupt one too, after it
-    was renamed to end with .corrupt: the run goes on and fetches anew.
+    Files are read by byte ranges, so a large one is split among tasks, wherever its lines end. A missing file counts as empty. One that is
+    no such map does too, after it was renamed to end with .corrupt: the run goes on and fetches anew.
     """
     fs, place = _hadoop(spark, path)
     if not fs.exists(place):
         return spark.createDataFrame([], LEDGER)
-    # A line has entries, maybe with the map's braces before or after it.
-    body = F.regexp_replace(F.regexp_replace("value", r"^\s*\{?\s*", ""), r"[\s,}]+$", "")
-    lines = spark.read.text(path).select(F.trim("value").alias("value"), F.when(body != "", F.from_json(F.concat(F.lit("{"), body, F.lit("}")), "map<string,string>")).alias("m"), (body != "").alias("some"))
-    opened, closed = F.count_if(F.startswith("value", F.lit("{"))), F.count_if(F.endswith("value", F.lit("}")))
-    n, bad, opens, closes = lines.agg(F.count_if(F.col("value") != ""), F.count_if(F.col("some") & F.col("m").isNull()), opened, closed).first()
-    if bad or opens != closes or n and not opens:
+    rows = read_maps(file_list(spark, path), split)
+    if not rows.where("error IS NOT NULL").isEmpty():
         kept = spark._jvm.org.apache.hadoop.fs.Path(path + ".corrupt")
         fs.delete(kept, True)
         fs.rename(place, kept)
         return spark.createDataFrame([], LEDGER)
-    return lines.where("some").select(F.explode("m").alias("bundle_path", "hash"))
+    return rows.groupBy(F.col("key").alias("bundle_path")).agg(F.max_by("value", F.struct("file", "place")).alias("hash"))
 
 
 def ledger_versions(spark: SparkSession, path: str) -> list[int]:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.codecs import to_little_endian
 
 # Head of an interleaved container, and places in an image's head.
-MAGIC, VERSION, HEAD = 0x42504148, 2, struct.Struct("<IHHIQ")
+MAGIC, VERSION, HEAD_FORM, HEAD_BYTES = 0x42504148, 2, "<IHHIQ", 20
 WIDTH_AT, HEIGHT_AT, STRIDE_AT, FORMAT_AT, PIXELS_AT, RGBA = 16, 20, 24, 28, 36, 1
 
 
@@ -22,10 +22,10 @@ def entries(data: bytes, grouped_magic: bytes = b"") -> list[tuple[str, bytes]]:
     turns. Grouped (where grouped_magic starts it): all sizes and names, then all payloads."""
     if grouped_magic and data.startswith(grouped_magic):
         return _grouped(data, len(grouped_magic))
-    if len(data) < HEAD.size:
+    if len(data) < HEAD_BYTES:
         raise ValueError("container is too short")
-    magic, version, head, count, size = HEAD.unpack_from(data)
-    if magic != MAGIC or version != VERSION or head < HEAD.size:
+    magic, version, head, count, size = struct.unpack_from(HEAD_FORM, data)
+    if magic != MAGIC or version != VERSION or head < HEAD_BYTES:
         raise ValueError("not a container of a known version")
     at, out, total = head, [], 0
     for _ in range(count):
@@ -65,7 +65,7 @@ def _grouped(data: bytes, at: int) -> list[tuple[str, bytes]]:
 def pack(items: list[tuple[str, bytes]]) -> bytes:
     """An interleaved container."""
     body = b"".join(struct.pack("<IQ", len(n.encode()), len(d)) + n.encode() + d for n, d in items)
-    return HEAD.pack(MAGIC, VERSION, HEAD.size, len(items), sum(len(d) for _, d in items)) + body
+    return struct.pack(HEAD_FORM, MAGIC, VERSION, HEAD_BYTES, len(items), sum(len(d) for _, d in items)) + body
 
 
 def explode_containers(rows: DataFrame, content: str, keys: list[str], grouped_magic: bytes = b"") -> DataFrame:
@@ -99,7 +99,7 @@ def containers_of(rows: DataFrame, key: str, grouped_magic: bytes = b"") -> Data
         content = F.concat(F.lit(grouped_magic.hex()), count, joined(head), joined(lambda x: F.hex(data(x))))
     else:
         size = F.aggregate(F.transform("items", lambda x: F.length(data(x)).cast("long")), F.lit(0).cast("long"), lambda a, b: a + b)
-        fixed = struct.pack("<IHH", MAGIC, VERSION, HEAD.size).hex()
+        fixed = struct.pack("<IHH", MAGIC, VERSION, HEAD_BYTES).hex()
         content = F.concat(F.lit(fixed), count, F.hex(to_little_endian(size, 8)), joined(lambda x: F.concat(head(x), F.hex(data(x)))))
     return listed.select(key, F.unhex(content).alias("content"))
 

@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from ..functions.codecs import deobfuscate
 from ..functions.paths import bundle_file, extension, file_name, safe_entry, slashes, with_extension, without_extension
+from ..operators.grouping import SIGNATURE, distinct_outputs
 from ..operators.objects import routes
-from .containers import explode_containers, pixels, png
+from ..operators.planning import is_sparse
+from .containers import entries, pixels, png
 
 WRITTEN = pa.schema([("path", pa.string()), ("bytes", pa.int64()), ("sha256", pa.string())])
 
@@ -78,33 +80,72 @@ def fan_out(images: DataFrame, formats: list[str]) -> DataFrame:
     return images.select("*", each).withColumn("path", paths)
 
 
-def payload_files(reads: DataFrame) -> DataFrame:
-    """(path, data, error) of reads (type, payload_kind, target, payload): nothing for empty and unsupported ones, the entries of payloads
-    of several files, all others as they are; raw pixels of images as PNG. error tells what could not be parsed."""
-    routed = reads.withColumn("route", routes(F.col("payload_kind"), F.col("payload"), F.col("target"), F.col("type"))).where("route != 'skip'")
-    entries = explode_containers(routed.where("route = 'several'"), "payload", ["target"])
-    several = entries.select(F.when(F.col("error").isNull(), entry_place(F.col("target"), F.col("name"))).otherwise(F.col("target")).alias("path"), "data", "error")
-    raw = F.col("payload_kind") == "image_raw_rgba"
-    plain = routed.where(F.col("route").isin("bytes", "image") & ~raw).select(F.col("target").alias("path"), F.col("payload").alias("data"), F.lit(None).cast("string").alias("error"))
-    return several.unionByName(plain).unionByName(pixel_files(routed.where((F.col("route") == "image") & raw)))
+EXPANDED = pa.schema([("target", pa.string()), ("entry", pa.string()), ("form", pa.string()), ("data", pa.binary()), ("error", pa.string())])
+
 
+def _expanded(route: str, kind: str | None, target: str, payload: bytes) -> list[tuple]:
+    try:
+        if route == "several":
+            return [(target, name, "entry", data, None) for name, data in entries(payload)]
+        if route == "image" and kind == "image_raw_rgba":
+            return [(target, None, "png", png(*pixels(payload)), None)]
+        return [(target, None, "whole", payload, None)]
+    except (ValueError, UnicodeDecodeError) as e:
+        return [(target, None, "png" if route == "image" else "whole", None, str(e))]
 
-def pixel_files(images: DataFrame) -> DataFrame:
-    """(path, data, error) of images (target, payload) of raw pixels, as PNG files."""
 
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def payload_files(reads: DataFrame) -> DataFrame:
+    """(path, data, error) of reads (type, payload_kind, target, payload): nothing for empty and unsupported ones, the entries of payloads of
+    several files, raw pixels of images as PNG, all others as they are, archives of text assets and payloads without a kind too. error tells what
+    could not be parsed. One pass over the reads."""
+
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, errors = [], []
-            for cell in batch.column(1):
-                try:
-                    data.append(png(*pixels(cell.as_py())))
-                    errors.append(None)
-                except ValueError as e:
-                    data.append(None)
-                    errors.append(str(e))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary()), pa.array(errors, pa.string())], names=["path", "data", "error"])
-
-    return images.select(with_extension(F.col("target"), "png").alias("path"), "payload").mapInArrow(draw, "path string, data binary, error string")
+            for row in zip(*(c.to_pylist() for c in batch.columns)):  # one payload's files at a time
+                files = _expanded(*row)
+                if files:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*files), EXPANDED.types)], schema=EXPANDED)
+
+    routed = reads.select(routes(F.col("payload_kind"), F.col("payload"), F.col("target"), F.col("type")).alias("route"), "payload_kind", "target", "payload").where("route != 'skip'")
+    rows = routed.mapInArrow(expand, "target string, entry string, form string, data binary, error string")
+    place = F.when(F.col("form") == "entry", entry_place(F.col("target"), F.col("entry"))).when(F.col("form") == "png", with_extension(F.col("target"), "png")).otherwise(F.col("target"))
+    return rows.select(place.alias("path"), "data", "error")
+
+
+def claimed_reads(reads: DataFrame) -> DataFrame:
+    """reads (target, payload, arrival, and the columns of a signature) without those that repeat one at the same target, and without empty and
+    unsupported ones; others that share a target have their own, with a suffix. arrival names a read. Payloads do not meet: only their digests do."""
+    reads = reads.where(routes(F.col("payload_kind"), F.col("payload"), F.col("target"), F.col("type")) != "skip")
+    keyed = reads.select(F.col("target").alias("path"), "payload", "arrival", *SIGNATURE)
+    claims = distinct_outputs(keyed).select(F.col("arrival").alias("_arrival"), "output")
+    return reads.join(claims, reads["arrival"] == claims["_arrival"]).withColumn("target", F.col("output")).drop("_arrival", "output")
+
+
+def manifest_rows(reads: DataFrame, written: DataFrame) -> DataFrame:
+    """What a manifest tells of the files that were written (path, as payload_files names them): path and the signature of the read at whose
+    target, or in whose folder, a file lies. Reads that share a target must have been claimed before."""
+    keys = reads.select(*SIGNATURE, F.explode(F.array_distinct(F.array(F.col("target"), with_extension(F.col("target"), "png")))).alias("_at"))
+    several = reads.where(F.startswith("payload_kind", F.lit("image_array_bundle_")) | (F.col("payload_kind") == "animator_bundle_fbx"))
+    folders = several.select(*SIGNATURE, F.concat(without_extension(F.col("target")), F.lit("/")).alias("_in"))
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.concat(F.array_join(F.slice(parts, F.lit(1), k), "/"), F.lit("/")))
+    inside = written.where(F.size(parts) > 1).select("path", F.explode(above).alias("_in"))
+    single = written.join(keys, written["path"] == keys["_at"]).select("path", *SIGNATURE)
+    return single.unionByName(inside.join(folders, "_in").select("path", *SIGNATURE)).distinct().withColumnRenamed("type", "asset_type")
+
+
+#: Name of the file that marks a staging folder in which some bundles are placeholders.
+SPARSE = ".sparse-input"
+
+
+def staging_files(states: DataFrame) -> DataFrame:
+    """(path, data) of a staging table (stored, state): an empty file for each placeholder, and the marker where not all tasks are pending.
+    A task that is pending but missing fails the query."""
+    missing = F.raise_error(F.concat(F.lit("missing staged bundle: "), F.col("stored"))).cast("boolean")
+    absent = F.when(F.col("state") == "missing", missing).otherwise(F.col("state") == "placeholder")
+    empty = F.lit(b"").cast("binary").alias("data")
+    marker = states.agg(is_sparse().alias("sparse")).where("sparse").select(F.lit(SPARSE).alias("path"), empty)
+    return states.where(absent).select(F.col("stored").alias("path"), empty).unionByName(marker)
 
 
 def document_files(documents: DataFrame) -> DataFrame:

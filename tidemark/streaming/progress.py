@@ -13,6 +13,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources.ledger_log import LedgerLog
+
 #: Events that a job keeps.
 RECENT = 20
 TERMINAL = ("completed", "failed", "cancelled")
@@ -97,40 +99,22 @@ def fold_stream(updates: DataFrame) -> DataFrame:
 
 
 def incremental(catalogues: DataFrame, ledger_path: str, plan: Callable[[DataFrame, DataFrame], DataFrame], sink: Callable[[DataFrame, int], None], checkpoint: str):
-    """Start a query that plans each batch of new catalogue rows against the ledger table at ledger_path (bundle_path, hash, in folders
-    batch=n), hands the tasks to sink and then writes them as the ledger's folder of that batch. The newest entry of a path
-    counts. A batch that runs again after a failure plans against the folders before its own and replaces its own; sink gets the
-    batch's number to do likewise. compact() keeps the table short."""
+    """Start a query that plans each batch of new catalogue rows against the ledger log at ledger_path, hands the tasks to sink and then
+    appends them to the log as the run of that batch; there need be no log yet. A batch opens only files that may hold its paths. The newest entry of a path
+    counts. A batch that runs again after a failure plans against the runs before its own and replaces its own; sink gets the
+    batch's number to do likewise."""
 
     def run(batch: DataFrame, number: int) -> None:
-        known = newest(batch.sparkSession, ledger_path, number)
+        log = LedgerLog(batch.sparkSession, ledger_path)
+        known = log.known(batch.select(F.col("bundle_name").alias("bundle_path")), number)
         tasks = plan(batch, known).persist()
         sink(tasks, number)
-        tasks.select("bundle_path", F.col("bundle_hash").alias("hash")).write.mode("overwrite").parquet(f"{ledger_path}/batch={number}")
+        log.append(tasks.groupBy("bundle_path").agg(F.max("bundle_hash").alias("hash")), number)
         tasks.unpersist()
 
     return catalogues.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def newest(spark, ledger_path: str, before: int) -> DataFrame:
-    """bundle_path, hash: the newest entry of each path in the folders of batches before a number."""
-    rows = spark.read.schema("bundle_path string, hash string, batch long").option("basePath", ledger_path).parquet(ledger_path)
-    return rows.where(F.col("batch") < before).groupBy("bundle_path").agg(F.max_by("hash", "batch").alias("hash"))
-
-
-def compact(spark, ledger_path: str, before: int) -> None:
-    """Add what the folders of batches before a number come to to that of the last of them, then drop the others, for a ledger between
-    queries. A crash in between leaves entries twice, which changes nothing."""
-    place = spark._jvm.org.apache.hadoop.fs.Path
-    fs = place(ledger_path).getFileSystem(spark._jsc.hadoopConfiguration())
-    names = [x.getPath().getName() for x in fs.listStatus(place(ledger_path))]
-    old = sorted(n for n in (int(x.partition("=")[2]) for x in names if x.startswith("batch=")) if n < before)
-    if len(old) > 1:
-        newest(spark, ledger_path, before).write.mode("append").parquet(f"{ledger_path}/batch={old[-1]}")
-        for n in old[:-1]:
-            fs.delete(place(f"{ledger_path}/batch={n}"), True)
-
-
 #: Columns of a snapshot that a list of jobs shows.
 LISTED = ("id", "parent_job_id", "kind", "region", "status", "dry_run", "asset_version", "asset_hash", "message", "created_at", "updated_at")
 
