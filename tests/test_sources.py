@@ -1,6 +1,7 @@
 """Sources and sinks by ranges, pages and runs: against plain readers, cut at every place, and damaged."""
 
 import contextlib
+import hashlib
 import io
 import json
 import random
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, GreaterThan, In, StringStartsWith
 
 from tidemark.operators import grouping, numbering, objects
-from tidemark.sources import catalog, catalog_split, container_index, containers, files, ledger_json, ledger_log, messagepack, object_pages, ranges
+from tidemark.sources import catalog, catalog_split, composed, container_index, containers, files, ledger_json, ledger_log, messagepack, object_pages, ranges
 
 
 def by_ranges(data, split):
@@ -249,3 +250,40 @@ def test_many_outputs_at_one_path(spark):
     schema = "path string, payload binary, arrival long, type string, name string, container string, payload_kind string, suggested_extension string"
     got = {r.arrival: r.output for r in grouping.distinct_outputs(spark.createDataFrame(rows, schema)).collect()}
     assert got == {i: "p.txt" if not i else f"p__dup{i + 1}.txt" for i in range(900)}
+
+
+def test_composed_files(spark, tmp_path):
+    parts = spark.createDataFrame([(f"d/{k % 3}", k, None if k == 7 else bytes([k]) * (k * 1000)) for k in random.Random(1).sample(range(60), 60)], "path string, at long, data binary").repartition(4)
+    rows = {r.path: (r.bytes, r.sha256) for r in composed.write_composed(parts, str(tmp_path)).collect()}
+    for k in range(3):
+        want = b"".join(bytes([i]) * (i * 1000) for i in range(k, 60, 3) if i != 7)
+        assert (tmp_path / f"d/{k}").read_bytes() == want and rows[f"d/{k}"] == (len(want), hashlib.sha256(want).hexdigest())
+    assert sorted(p.name for p in (tmp_path / "d").iterdir() if not p.name.endswith(".crc")) == ["0", "1", "2"]
+    assert composed.write_composed(parts.where("at < 0"), str(tmp_path / "none")).count() == 0
+    items = [(f"n{i}", i, b"x" * i) for i in range(20)] + [("null", 20, None)]
+    df = spark.createDataFrame([("a", *x) for x in items] + [("b", "é", 1, b"")], "path string, name string, ord long, data binary")
+    for magic in (b"", b"GROUP"):
+        list(composed.write_composed(composed.container_parts(df, magic), str(tmp_path / "c")).collect())
+        assert containers.entries((tmp_path / "c/a").read_bytes(), magic) == [(n, d or b"") for n, _, d in items] and containers.entries((tmp_path / "c/b").read_bytes(), magic) == [("é", b"")]
+    assert (tmp_path / "c/a").read_bytes()[:5] == b"GROUP"
+    seg = [("d", "jam-001", b"CRI"), ("d", "jam-002", b"DPA"), ("d", "jam-003", b"YLD"), ("e", "jam-001", b"A"), ("e", "jam-003", b"B"), ("f", "p-001", b"CRID"), ("f", "p-003__dup8", b"TAIL"), ("f", "p-002__dup8", b"CONT"), ("g", "solo", b"S"), ("g", "p-2", b"T")]
+    cut = composed.segment_parts(spark.createDataFrame(seg, "dir string, stem string, data binary"))
+    list(composed.write_composed(cut, str(tmp_path / "s")).collect())
+    assert {str(p.relative_to(tmp_path / "s")): p.read_bytes() for p in (tmp_path / "s").rglob("*") if p.is_file()} == {"d/jam": b"CRIDPAYLD", "e/jam-001": b"A", "e/jam-003": b"B", "f/p": b"CRIDCONTTAIL", "g/solo": b"S", "g/p-2": b"T"}
+    objects_ = spark.createDataFrame([("c/é\"x.playable", "b", 1, "T", "1"), ("c/é\"x.playable", None, 2, "T", "{}"), ("c/é\"x.playable", "a", 3, "U", None), (" ", "z", 4, "T", "")], "container string, name string, index long, type string, data string")
+    (written,) = composed.write_composed(composed.document_parts(objects_), str(tmp_path / "j")).collect()
+    assert json.loads((tmp_path / "j" / written.path).read_text()) == {"container": 'c/é"x.playable', "object_count": 3, "objects": [{"name": None, "type": "T", "data": "{}"}, {"name": "a", "type": "U", "data": None}, {"name": "b", "type": "T", "data": "1"}]}
+
+
+def test_process_trees(spark):
+    def brute(rows, root):
+        found = {p for p, _, _ in rows if p == root}
+        while more := {p for p, q, _ in rows if q in found} - found:
+            found |= more
+        return sum(c for p, _, c in rows if p in found) or None
+
+    r = random.Random(6)
+    for case in ([(i, i - 1, 1) for i in range(3000)], [(1, 3, 1), (2, 1, 2), (3, 2, 4), (4, 3, 8), (5, 6, 16), (6, 5, 32), (7, 7, 64), (8, None, 128)], [(i, r.randint(0, 60) or None, i) for i in range(1, 60)]):
+        df = spark.createDataFrame(case, "pid long, ppid long, cpu long")
+        for root in (1, 5, 99_999):
+            assert grouping.process_tree_sum(spark, df, root).first().cpu == brute(case, root)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import extension, segment_key, slashes, without_extension
+from ..sources.scratch import written
 from .numbering import numbered
 
 SIGNATURE = ("type", "name", "container", "payload_kind", "suggested_extension")
@@ -79,13 +80,18 @@ def status_lists(jobs: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
 
 
 def process_tree_sum(spark, processes: DataFrame, root: int) -> DataFrame:
-    """Sum of cpu over a process (pid, ppid, cpu) and all below it; a cycle counts once."""
-    found = processes.where(F.col("pid") == root).select("pid")
-    n = found.count()
-    while True:
-        below = processes.join(found.withColumnRenamed("pid", "_p"), F.col("ppid") == F.col("_p"), "left_semi").select("pid")
-        more = found.union(below).distinct()
-        m = more.count()
-        if m == n:
-            return processes.join(found, "pid", "left_semi").agg(F.sum("cpu").alias("cpu"))
-        found, n = more, m
+    """Sum of cpu over a process (pid, ppid, cpu; a pid once) and all below it; a cycle counts once. Null where there is no such process.
+
+    By pointer doubling: each process asks whether the root is among its next 1, 2, 4, .. ancestors, so a chain of n takes log2(n) rounds, each a
+    table of its own. Who has met the root or the end of its chain leaves the rounds; who walks in a ring leaves when the steps exceed the processes.
+    """
+    links = written(processes.where((F.col("pid") != root) & F.col("ppid").isNotNull()).select("pid", F.col("ppid").alias("to"), (F.col("ppid") == root).alias("met")), "links")
+    n, steps = links.count(), 1
+    while steps <= n and not (walking := links.where("NOT met")).isEmpty():
+        further = links.select(F.col("pid").alias("to"), F.col("to").alias("_to"), F.col("met").alias("_met"))
+        # Who points to no process of the table has come to the end of its chain and goes.
+        moved = walking.join(further, "to").select("pid", F.col("_to").alias("to"), F.col("_met").alias("met"))
+        links = written(moved.unionByName(links.where("met")), "links")
+        steps *= 2
+    found = links.where("met").select("pid").unionByName(processes.where(F.col("pid") == root).select("pid"))
+    return processes.join(found, "pid", "left_semi").agg(F.sum("cpu").alias("cpu"))

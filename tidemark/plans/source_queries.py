@@ -8,8 +8,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ..operators import objects, planning
-from ..sources import catalog, container_index, containers, files, ranges
+from ..operators import grouping, objects, planning
+from ..sources import catalog, composed, container_index, containers, files, ranges
 from ..sources.ledger_log import LedgerLog
 from ..sources.object_pages import read_object_pages, write_object_pages
 from ..sources.scratch import scratch
@@ -132,3 +132,52 @@ def provider_repeats(spark, d):
 def unread_types(spark, d):
     kind = F.when(F.col("index") % 4 == 0, "Material").otherwise(F.col("type"))
     return object_rows(spark, d).select("index", objects.unread_reason(kind).alias("reason"))
+
+
+@query("""WITH f AS (SELECT CAST(conv_id AS VARCHAR) AS dir, 'c' || conv_id AS base, turn + 1 AS n, text FROM conversations WHERE NOT (conv_id % 4 = 0 AND turn = 1)), g AS (SELECT dir, base, count(*) AS k, min(n) AS lo, max(n) AS hi, count(DISTINCT n) AS dn, string_agg(text, '' ORDER BY n, text) AS t FROM f GROUP BY ALL)
+SELECT dir || '/' || base AS path, strlen(t) AS bytes, sha256(t) AS sha256 FROM g WHERE k > 1 AND lo = 1 AND hi = k AND dn = k
+UNION ALL SELECT f.dir || '/' || f.base || '-' || printf('%03d', n), strlen(text), sha256(text) FROM f JOIN g USING (dir, base) WHERE NOT (k > 1 AND lo = 1 AND hi = k AND dn = k)""")
+def composed_segments(spark, d):
+    """Segments written as one file each as they stream by."""
+    c = table(spark, d, "conversations").where("NOT (conv_id % 4 = 0 AND turn = 1)")
+    parts = composed.segment_parts(c.select(F.col("conv_id").cast("string").alias("dir"), F.format_string("c%d-%03d", "conv_id", F.col("turn") + 1).alias("stem"), F.col("text").cast("binary").alias("data")))
+    return composed.write_composed(parts, scratch(spark, "segments"))
+
+
+@query("SELECT lang || '.usm' AS name, strlen(t) AS bytes, sha256(t) AS sha256 FROM (SELECT lang, string_agg(text, '' ORDER BY doc_id, text) AS t FROM documents GROUP BY lang)")
+def composed_folders(spark, d):
+    """All documents of a language as one file."""
+    docs = table(spark, d, "documents").select("lang", F.col("doc_id").alias("ord"), F.col("text").cast("binary").alias("data")).withColumnRenamed("lang", "dir")
+    written = composed.write_composed(composed.folder_parts(docs), scratch(spark, "folders"))
+    return written.select(F.substring_index("path", "/", -1).alias("name"), "bytes", "sha256")
+
+
+@query("SELECT source, doc_id AS id, coalesce(text, '') AS text, form FROM documents, (VALUES ('interleaved'), ('grouped')) f(form)")
+def composed_containers(spark, d):
+    """All documents of a source in one container, in both forms, written in a stream and taken apart by ranges."""
+    docs = table(spark, d, "documents").select(F.concat("source", F.lit(".bin")).alias("path"), F.col("doc_id").alias("ord"), F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("name"), F.col("text").cast("binary").alias("data"))
+    out = []
+    for form, magic in (("interleaved", b""), ("grouped", b"GROUPED1")):
+        place = scratch(spark, form)
+        run(composed.write_composed(composed.container_parts(docs, magic), place))
+        found = container_index.read_entries(container_index.index_containers(ranges.file_list(spark, place), magic))
+        out.append(found.select(F.substring_index("name", "/", 1).alias("source"), F.substring_index("name", "/", -1).cast("long").alias("id"), F.col("data").cast("string").alias("text"), F.lit(form).alias("form")))
+    return out[0].unionByName(out[1])
+
+
+@query(f"WITH {OBJECTS} SELECT container, count(*) AS object_count, string_agg(coalesce(name, '-') || ':' || type, '|' ORDER BY name IS NOT NULL, name, index) AS listed FROM objects WHERE container IS NOT NULL GROUP BY container")
+def composed_documents(spark, d):
+    """Documents of containers written in a stream and read back."""
+    place = scratch(spark, "documents")
+    run(composed.write_composed(composed.document_parts(object_rows(spark, d)), place))
+    back = spark.read.schema("container string, object_count long, objects array<struct<name:string,type:string>>").option("multiLine", True).option("recursiveFileLookup", True).json(place)
+    return back.select("container", "object_count", F.array_join(F.transform("objects", lambda x: F.concat(F.coalesce(x["name"], F.lit("-")), F.lit(":"), x["type"])), "|").alias("listed"))
+
+
+@query("""WITH RECURSIVE p AS (SELECT o_orderkey AS pid, CASE WHEN o_orderkey % 7 = 0 THEN o_orderkey ELSE o_orderkey // 2 END AS ppid, o_custkey AS cpu FROM orders), t AS (SELECT pid FROM p WHERE pid = 2 UNION SELECT p.pid FROM p JOIN t ON p.ppid = t.pid)
+SELECT CAST(sum(cpu) AS BIGINT) AS cpu FROM p WHERE pid IN (SELECT pid FROM t)""")
+def process_tree(spark, d):
+    """Orders as processes, a part of them their own parents."""
+    key = F.col("o_orderkey")
+    rows = table(spark, d, "orders").select(key.alias("pid"), F.when(key % 7 == 0, key).otherwise(F.expr("o_orderkey div 2")).alias("ppid"), F.col("o_custkey").alias("cpu"))
+    return grouping.process_tree_sum(spark, rows, 2)
