@@ -7,6 +7,7 @@ import json
 import random
 import re
 import struct
+import time
 
 import pytest
 from pyspark.sql import Window as W
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, GreaterThan, In, StringStartsWith
 
 from tidemark.operators import grouping, numbering, objects
+from tidemark.streaming import progress
 from tidemark.sources import catalog, catalog_split, composed, container_index, containers, files, ledger_json, ledger_log, messagepack, object_pages, ranges
 
 
@@ -287,3 +289,80 @@ def test_process_trees(spark):
         df = spark.createDataFrame(case, "pid long, ppid long, cpu long")
         for root in (1, 5, 99_999):
             assert grouping.process_tree_sum(spark, df, root).first().cpu == brute(case, root)
+
+
+UPDATE = "job_id string, at timestamp, seq long, update_type string, bundle string, n long, message string"
+
+
+def stream(df, folder, mode="update"):
+    """What a run of a query gives for what is new."""
+    rows = []
+    q = df.writeStream.foreachBatch(lambda batch, n: rows.extend(batch.collect())).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", folder).start()
+    try:
+        q.awaitTermination(60)
+    finally:
+        q.stop()
+    return rows
+
+
+def test_folds_of_streams_in_any_chunks(spark, tmp_path, monkeypatch):
+    """Against the batch fold: cancellations between rows, ends in any order, chunks of a few rows."""
+    from datetime import datetime, timedelta
+
+    r, t0 = random.Random(9), datetime(2024, 1, 1)
+    kinds = ["DownloadsPlanned", "BundleStarted", "BundleCompleted", "BundleFailed", "SchedulerTelemetry", "Completed", "Failed", "RecordSaved", "Phase"]
+    rows = [(f"j{j}", t0 + timedelta(seconds=r.randint(0, 90)), i, r.choice(kinds), f"b{i}", i, "m") for j in range(8) for i in range(150)]
+    rows += [(f"j{j}", t0 + timedelta(seconds=40 + j), 999, "Cancelled", None, None, None) for j in range(3)]
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, UPDATE)
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 20)
+    try:
+        snapshots = stream(progress.fold_stream(spark.readStream.schema(UPDATE).parquet(str(tmp_path / "in"))), str(tmp_path / "cp"))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = {x.job_id: (x.total, x.completed, x.failed, x.phase, x.status, x.at) for x in snapshots}
+    want = {x.job_id: (x.total, x.completed, x.failed, x.phase, x.status, x.updated_at) for x in progress.fold(df).collect()}
+    assert got == want and {v[4] for v in got.values()} > {"cancelled"}
+    recent = {}
+    for x in progress.recent(df.where("job_id > 'j2'")).orderBy("job_id", F.desc("place")).collect():
+        recent.setdefault(x.job_id, []).append(x.text)
+    assert {x.job_id: x.recent for x in snapshots if x.job_id > "j2"} == recent
+
+
+def test_jobs_that_ended_stay_so_and_are_forgotten_in_time(spark, tmp_path):
+    from datetime import datetime
+
+    row = lambda k, kind: [("j", datetime(2024, 1, 1, 0, 0, k), k, kind, "b", 1, "m")]
+    source, seen = str(tmp_path / "in"), []
+    for k, kind in enumerate(["BundleCompleted", "Failed", "Completed", "Cancelled", "BundleCompleted"]):
+        spark.createDataFrame(row(k, kind), UPDATE).write.mode("append").parquet(source)
+        seen.append([(x.status, x.completed) for x in stream(progress.fold_stream(spark.readStream.schema(UPDATE).parquet(source)), str(tmp_path / "cp"))])
+    assert seen == [[("running", 1)], [("failed", 1)], [("failed", 1)], [("cancelled", 1)], []]
+    source, rows = str(tmp_path / "in2"), []
+    spark.createDataFrame(row(0, "Completed"), UPDATE).write.parquet(source)
+    kept = progress.fold_stream(spark.readStream.schema(UPDATE).parquet(source), keep_ms=1)
+    q = kept.writeStream.foreachBatch(lambda batch, n: rows.extend(batch.collect())).outputMode("update").option("checkpointLocation", str(tmp_path / "cp2")).start()
+    try:  # with timers a query runs batches until it is stopped
+        for k, kind in enumerate(["BundleCompleted"] * 2, 1):
+            for _ in range(60):
+                time.sleep(0.5)
+                if len(rows) >= k:
+                    break
+            time.sleep(2)
+            spark.createDataFrame(row(k, kind), UPDATE).write.mode("append").parquet(source)
+    finally:
+        q.stop()
+    assert [(x.status, x.completed) for x in rows[:2]] == [("completed", 0), ("running", 1)]
+
+
+def test_claims_across_runs(spark, tmp_path):
+    schema = "path string, payload binary, arrival long, type string, name string, container string, payload_kind string, suggested_extension string"
+    r = random.Random(12)
+    rows = [(r.choice(["a/x.png", "a/y", "b/z.tar.gz"]), bytes([r.randint(0, 6)]), i, r.choice(["t", None]), "n", None, "k", "e") for i in range(120)]
+    source, got = str(tmp_path / "in"), {}
+    for k in range(3):
+        spark.createDataFrame(rows[40 * k : 40 * k + 40], schema).write.mode("append").parquet(source)
+        got |= {x.arrival: x.output for x in stream(progress.claim_stream(spark.readStream.schema(schema).parquet(source)), str(tmp_path / "cp"), "append")}
+    want = {x.arrival: x.output for x in grouping.distinct_outputs(spark.createDataFrame(rows, schema)).collect()}
+    assert got == want and len(want) > 30

@@ -21,9 +21,13 @@ def distinct_outputs(rows: DataFrame) -> DataFrame:
     """
     signed = rows.select("path", *SIGNATURE, "arrival", F.sha2("payload", 256).alias("signature"), F.length("payload").cast("long").alias("bytes"))
     first = signed.groupBy("path", *SIGNATURE, "signature").agg(F.min("arrival").alias("arrival"), F.first("bytes").alias("bytes"))
-    path = F.col("path")
-    suffixed = F.concat(without_extension(path), F.lit("__dup"), F.col("n").cast("string"), F.coalesce(F.concat(F.lit("."), extension(path)), F.lit("")))
-    return numbered(first, ["path"], ["arrival"]).withColumn("output", F.when(F.col("n") == 1, path).otherwise(suffixed)).drop("n")
+    return numbered(first, ["path"], ["arrival"]).withColumn("output", duplicate_path(F.col("path"), F.col("n"))).drop("n")
+
+
+def duplicate_path(path: Column, n: Column) -> Column:
+    """Where the nth of what differs at a path goes."""
+    suffixed = F.concat(without_extension(path), F.lit("__dup"), n.cast("string"), F.coalesce(F.concat(F.lit("."), extension(path)), F.lit("")))
+    return F.when(n == 1, path).otherwise(suffixed)
 
 
 def _joined(parts: Column) -> Column:
