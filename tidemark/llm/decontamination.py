@@ -186,8 +186,8 @@ def align(item: list[str], passage: list[str]) -> int:
 def chosen_seeds(windows: DataFrame, found: DataFrame) -> DataFrame:
     """(key, gram) of windows (key, grams, in order) for passages (pid, grams): the rare n-grams and the rarest of each block, of those that occur."""
     times = found.select("pid", F.explode("grams").alias("gram")).distinct().groupBy("gram").agg(F.count("*").alias("times"))
-    bound = F.greatest(F.lit(RARE).cast("double"), F.col("passages") * RARE_PART)
-    grams = windows.select("key", F.posexplode("grams").alias("pos", "gram")).join(times, "gram").crossJoin(F.broadcast(found.agg(F.count("*").alias("passages"))))  # one row
+    bound = max(RARE, found.count() * RARE_PART)
+    grams = windows.select("key", F.posexplode("grams").alias("pos", "gram")).join(times, "gram")
     grams = grams.withColumn("block", F.floor(F.col("pos") / BLOCK))
     rarest = grams.groupBy("key", "block").agg(F.min(F.struct("times", "gram")).alias("b")).select("key", F.col("b.gram").alias("gram"))
     return rarest.unionByName(grams.where(F.col("times") <= bound).select("key", "gram")).distinct()
