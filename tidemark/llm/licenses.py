@@ -2,8 +2,9 @@
 
 A multinomial logistic regression with an elastic-net penalty over word 1- and 2-grams learns licence families from whole notices and
 from names in the ways in which texts state them, and from lines of prose that are none. A temperature fitted on names, notices
-and ways kept out of training calibrates its probabilities. A paragraph counts as unknown if it speaks of a licence but no
-family is likely enough, or if too little of any notice and no name of the likely family stands in it.
+and ways kept out of training calibrates its probabilities. Each paragraph with a learnt word or a cue of licences is told: with its family; as unknown
+if it speaks of a licence but no family is likely enough, or if too little of any notice and no name of the likely family stands in it; or as none,
+if it likely speaks of something else. Further families whose notice or name stands in it are told beside the first.
 
 A paragraph is a line, or a block: two or more neighbouring lines of at most WRAPPED characters, without comment marks, as file heads
 have them. A line inside a confirmed block that has no family of its own is not told again.
@@ -39,16 +40,20 @@ NOTICES = {
     "agpl": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "SPDX-License-Identifier: AGPL-3.0-or-later"],
     "apache": ["Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at apache.org.", "Licensed to the Apache Software Foundation under one or more contributor license agreements.", "SPDX-License-Identifier: Apache-2.0"],
     "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.", "SPDX-License-Identifier: BSD-2-Clause"],
-    "cc-by": ["This work is licensed under a Creative Commons Attribution 4.0 International License.", "You are free to share and adapt the material for any purpose, even commercially, if you give appropriate credit."],
+    "cc-by": ["Dieses Werk ist lizenziert unter einer Creative Commons Namensnennung 4.0 International Lizenz.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "You are free to share and adapt the material for any purpose, even commercially, if you give appropriate credit."],
     "cc-by-nc": ["This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "You are free to share and adapt the material if you give appropriate credit, but not for commercial purposes."],
     "cc-by-sa": ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Text is available under the Creative Commons Attribution-ShareAlike License; additional terms may apply."],
-    "gpl": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", "You should have received a copy of the GNU General Public License along with this program.", "This work is licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0-only"],
+    "epl": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which accompanies this distribution.", "SPDX-License-Identifier: EPL-2.0"],
+    "eupl": ["Licensed under the EUPL, Version 1.2 or, as soon they will be approved by the European Commission, subsequent versions of the EUPL.", "SPDX-License-Identifier: EUPL-1.2"],
+    "gpl": ["Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", "You should have received a copy of the GNU General Public License along with this program.", "This work is licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0-only"],
     "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "SPDX-License-Identifier: ISC"],
     "lgpl": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.", "SPDX-License-Identifier: LGPL-2.1-or-later"],
-    "mit": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software.", "SPDX-License-Identifier: MIT"],
+    "mit": ["The software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software.", "SPDX-License-Identifier: MIT"],
     "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, you can obtain one at mozilla.org.", "SPDX-License-Identifier: MPL-2.0"],
-    "proprietary": ["All rights reserved.", "Unauthorized copying of this file, via any medium, is strictly prohibited.", "No part of this publication may be reproduced without the prior written permission of the publisher.", "This software is proprietary and confidential."],
+    "proprietary": ["All rights reserved.", "Unauthorized copying of this file, via any medium, is strictly prohibited.", "No part of this publication may be reproduced without the prior written permission of the publisher.", "This software is proprietary and confidential.", "Confidential and proprietary information of the company."],
     "public-domain": ["This is free and unencumbered software released into the public domain.", "To the extent possible under law, the author has waived all copyright and related rights to this work.", "Dedicated to the public domain under CC0 1.0.", "This work is in the public domain."],
+    "wtfpl": ["Do what the fuck you want to public license. Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed.", "This program is free software. It comes without any warranty, under the terms of the Do What The Fuck You Want To Public License, Version 2."],
+    "zlib": ["This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.", "SPDX-License-Identifier: Zlib"],
     UNKNOWN: ["You may use this work under the terms of its own license.", "See the license agreement for the terms of use.", "Use of this product is subject to the license terms of the vendor.", "By installing the software you accept the license agreement.", "The license file has the full terms."],
 }
 # Names by family, as texts write them.
@@ -59,12 +64,16 @@ NAMES = {
     "cc-by": ["CC BY 4.0", "CC BY 3.0", "CC-BY 4.0", "Creative Commons Attribution 4.0 International License", "Creative Commons Attribution license", "Creative Commons Attribution 3.0"],
     "cc-by-nc": ["CC BY-NC 4.0", "CC BY-NC-SA 4.0", "CC BY-NC 3.0", "Creative Commons Attribution-NonCommercial 4.0 International License", "Creative Commons Attribution-NonCommercial license", "Creative Commons NonCommercial license"],
     "cc-by-sa": ["CC BY-SA 4.0", "CC BY-SA 3.0", "CC-BY-SA", "Creative Commons Attribution-ShareAlike 4.0 International License", "Creative Commons Attribution-ShareAlike license", "Creative Commons ShareAlike license"],
+    "epl": ["Eclipse Public License 2.0", "Eclipse Public License, version 1.0", "Eclipse Public License", "EPL 2.0", "EPL license"],
+    "eupl": ["EUPL-1.2", "European Union Public License 1.2", "European Union Public License", "EUPL, version 1.2", "EUPL"],
     "gpl": ["GNU General Public License, version 3", "GNU General Public License version 2", "GNU GPL", "GPLv3", "GPLv2", "GPL 3.0", "GPL license", "GPL"],
     "isc": ["ISC License", "ISC licence terms", "Internet Systems Consortium license"],
     "lgpl": ["GNU Lesser General Public License, version 3", "GNU Lesser General Public License", "GNU LGPL, version 2.1", "LGPLv3", "LGPL 2.1", "LGPL license", "GNU Library General Public License"],
     "mit": ["MIT License", "MIT licence", "MIT/X11 license", "Expat license", "MIT open source license"],
     "mpl": ["Mozilla Public License, version 2.0", "Mozilla Public License 2.0", "MPL 2.0", "MPLv2", "MPL license"],
     "public-domain": ["CC0 1.0 Universal", "CC0", "Unlicense", "public domain"],
+    "wtfpl": ["WTFPL", "Do What The Fuck You Want To Public License", "WTFPL license", "WTFPL version 2"],
+    "zlib": ["zlib License", "zlib/libpng license", "zlib licence terms", "zlib-style license"],
     UNKNOWN: ["Example License, version 1", "Sample Public License", "custom license", "license of its vendor", "Open Widget License 1.2", "Acme Software License", "Data Sharing License"],
 }
 # Words that tell nothing of a licence, alone or together.
@@ -86,8 +95,9 @@ SAYINGS = [
 WAYS = ["{}", "{} See the LICENSE file for details.", "Copyright (c) 2019 The Authors. {}", "Note: {}", "{} Copyright 2021.", "The following holds: {}"]
 #: Of names, ways and sayings, each of this number is kept out of training and only calibrates.
 KEPT_OUT = 4
-#: Lines with these stems are not taken for prose.
+#: Lines with these stems are not taken for prose, and are told whatever words they have; so are those with the cues.
 STEMS = "licen[sc]|copyright|reserved|permission|public domain|spdx|redistribut|gpl|\\bcc[ -]by\\b"
+CUES = STEMS + "|li[zc]en[zc]|warrant|\\bas[ -]is\\b|proprietary|confidential|unlicense|wtfpl|eupl|creative commons|endorse or promote|verbatim copies|©|\\(c\\) ?[12][0-9]{3}|held liable"
 
 
 def written() -> list[tuple[str, str, bool]]:
@@ -166,11 +176,13 @@ class LicenseModel:
         return min(((x, t) for x, t in zip(found, grid) if x is not None and not math.isnan(x)), default=(0.0, 1.0))[1]
 
     def score(self, paragraphs: DataFrame) -> DataFrame:
-        """paragraphs (with column paragraph) that speak of a licence: family (or unknown), probability, similarity beside their columns."""
-        given = paragraphs.where(F.exists(words_of(F.col("paragraph")), lambda w: w.isin(self.words))).withColumn("grams", grams(F.col("paragraph")))
+        """paragraphs (with column paragraph) that have a learnt word or a cue: family (or unknown, or none), probability, similarity and others, the further
+        families whose notice or name they have, beside their columns."""
+        touched = F.exists(words_of(F.col("paragraph")), lambda w: w.isin(self.words)) | F.lower("paragraph").rlike(CUES)
+        given = paragraphs.where(touched).withColumn("grams", grams(F.col("paragraph")))
         p = F.transform(F.array(vector_to_array("rawPrediction")), lambda m: F.transform(m, lambda x: F.exp((x - F.array_max(m)) / self.temperature)))[0]
         p = F.transform(F.array(p), lambda a: F.transform(a, lambda x: x / F.aggregate(a, F.lit(0.0), lambda s, v: s + v)))[0]
-        scored = self.model.transform(self.vector.transform(given)).select(*paragraphs.columns, "grams", p.alias("p")).where(F.get("p", F.lit(0)) < 0.5)
+        scored = self.model.transform(self.vector.transform(given)).select(*paragraphs.columns, "grams", p.alias("p"))
         # The likeliest family, and the largest part of one of its notices' pairs of words that the paragraph has.
         best = F.array_max(F.transform(F.slice("p", 2, len(self.families)), lambda x, i: F.struct(x.alias("p"), (-i).alias("i"))))
         named = scored.withColumn("best", best).withColumn("likely", F.get(F.array(*[F.lit(f) for f in self.families]), 1 - F.col("best.i")))
@@ -178,10 +190,15 @@ class LicenseModel:
         # A name counts whole or not at all.
         whole = lambda t: F.when(part(t) == 1.0, 1.0).otherwise(0.0)
         templates = {f: [part(template(t)) for t in texts] + [whole(template(t)) for t in NAMES.get(f, [])] for f, texts in self.notices.items()}
-        similarity = F.coalesce(*[F.when(F.col("likely") == f, F.greatest(F.lit(0.0), *x)) for f, x in templates.items()])
-        named = named.withColumn("similarity", similarity)
-        family = F.when((F.col("best.p") >= SURE) & (F.col("similarity") >= CONFIRMED), F.col("likely")).otherwise(UNKNOWN)
-        return named.select(*paragraphs.columns, family.alias("family"), F.col("best.p").alias("probability"), "similarity")
+        named = named.withColumn("parts", F.map_from_arrays(F.array(*[F.lit(f) for f in templates]), F.array(*[F.greatest(F.lit(0.0), *x) for x in templates.values()])))
+        named = named.withColumn("similarity", F.coalesce(F.try_element_at("parts", F.col("likely")), F.lit(0.0)))
+        sure = (F.col("best.p") >= SURE) & (F.col("similarity") >= CONFIRMED)
+        nothing = F.get("p", F.lit(0))
+        family = F.when(nothing >= 0.5, NONE).when(sure, F.col("likely")).otherwise(UNKNOWN)
+        named = named.withColumn("family", family)
+        stands = F.map_keys(F.map_filter("parts", lambda f, x: (x >= CONFIRMED) & (f != F.col("family")) & (f != UNKNOWN)))
+        others = F.when(F.col("family") == NONE, F.array().cast("array<string>")).otherwise(F.array_sort(stands))
+        return named.select(*paragraphs.columns, "family", F.when(F.col("family") == NONE, nothing).otherwise(F.col("best.p")).alias("probability"), "similarity", others.alias("others"))
 
 
 def template(text: str) -> list[str]:
@@ -205,7 +222,7 @@ def paragraphs(docs: DataFrame) -> DataFrame:
 
 
 def scan_licenses(docs: DataFrame, model: LicenseModel | None = None) -> DataFrame:
-    """doc_id, kind, place, paragraph, family, probability, similarity of each paragraph of docs (doc_id, text) that speaks of a licence.
+    """doc_id, kind, place, paragraph, family, probability, similarity, others of each paragraph of docs (doc_id, text) that a word or cue of licences touches.
 
     Of a block only a confirmed family is told, and only if none of its lines has that family by itself; a line of such a block has to
     have a family of its own. Null and empty texts have no paragraph of interest; rows that agree in doc_id and text are told each; other
@@ -213,17 +230,17 @@ def scan_licenses(docs: DataFrame, model: LicenseModel | None = None) -> DataFra
     """
     model = model or LicenseModel(docs)
     found = materialise(model.score(paragraphs(docs)), "licences")
-    lines, blocks = found.where("kind = 'line'"), found.where(F.col("kind") == "block").where(F.col("family") != UNKNOWN)
+    lines, blocks = found.where("kind = 'line'"), found.where(F.col("kind") == "block").where(~F.col("family").isin(UNKNOWN, NONE))
     side = lambda df, *c: df.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), F.col("paragraph").alias("_text"), *c).distinct()
     same = lambda df, other: df["doc_id"].eqNullSafe(other["_id"]) & (df["row"] == other["_row"])
-    named = side(lines.where(F.col("family") != UNKNOWN), F.col("family").alias("_family"))
+    named = side(lines.where(~F.col("family").isin(UNKNOWN, NONE)), F.col("family").alias("_family"))
     blocks = blocks.join(named, same(blocks, named) & (blocks["family"] == named["_family"]) & F.contains(blocks["paragraph"], named["_text"]), "left_anti")
     whole = side(blocks)
-    lines = lines.join(whole, same(lines, whole) & (lines["family"] == UNKNOWN) & F.contains(whole["_text"], lines["paragraph"]), "left_anti")
+    lines = lines.join(whole, same(lines, whole) & lines["family"].isin(UNKNOWN, NONE) & F.contains(whole["_text"], lines["paragraph"]), "left_anti")
     return lines.unionByName(blocks).withColumn("paragraph", F.replace("paragraph", F.lit(JOIN), F.lit("\n"))).drop("row")
 
 
 def op4_license_scan(spark, sf_dir: str) -> DataFrame:
     """All documents' licence paragraphs."""
     found = scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.select("doc_id", "kind", F.col("place").cast("long").alias("paragraph"), "family", F.round("probability", 6).alias("probability"), F.round("similarity", 6).alias("similarity"))
+    return found.select("doc_id", "kind", F.col("place").cast("long").alias("paragraph"), "family", F.round("probability", 6).alias("probability"), F.round("similarity", 6).alias("similarity"), F.array_join("others", ",").alias("others"))
