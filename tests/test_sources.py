@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, GreaterThan, In, StringStartsWith
 
+from tidemark.functions import patterns
 from tidemark.operators import grouping, numbering, objects
 from tidemark.streaming import progress
 from tidemark.sources import catalog, catalog_split, composed, container_index, containers, files, ledger_json, ledger_log, messagepack, object_pages, ranges
@@ -366,3 +367,29 @@ def test_claims_across_runs(spark, tmp_path):
         got |= {x.arrival: x.output for x in stream(progress.claim_stream(spark.readStream.schema(schema).parquet(source)), str(tmp_path / "cp"), "append")}
     want = {x.arrival: x.output for x in grouping.distinct_outputs(spark.createDataFrame(rows, schema)).collect()}
     assert got == want and len(want) > 30
+
+
+def test_literal_patterns(spark, tmp_path):
+    assert [patterns.literal(p) for p in ("^a/b", "a-b", r"a\.b", "^", "a.b", "a$", "(a)", r"\d", "a\\", "é ü")] == [(True, "a/b"), (False, "a-b"), (False, "a.b"), (True, ""), None, None, None, None, None, (False, "é ü")]
+    r = random.Random(14)
+    word = lambda n: "".join(r.choices("ab.-/ é", k=n))
+    texts = [word(r.randint(0, 12)) for _ in range(400)] + [None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for n in (1, 3, 5, 60):
+        asked = [word(r.randint(1, 4)) for _ in range(n)]
+        for anchor in ("", "^"):
+            given = [anchor + re.escape(x).replace(r"\é", "é") for x in asked]
+            got = [x[0] for x in df.select(patterns.any_match(F.col("t"), given)).collect()]
+            test = str.startswith if anchor else str.__contains__
+            assert got == [None if t is None else any(test(t, x) for x in asked) for t in texts]
+            first = [x[0] for x in df.select(patterns.first_match(F.col("t"), given)).collect()]
+            assert first == [None if t is None else next((k for k, x in enumerate(asked) if test(t, x)), None) for t in texts]
+    many = sorted({f"bundle/{r.randint(0, 10**6)}" for _ in range(1000)})
+    whole = patterns.shared_beginnings(many)
+    assert whole.count("bundle/") == 1 and [re.match(whole, m) is not None for m in many] == [True] * len(many) and not re.match(whole, "bundle/x")
+    assert patterns.any_match(F.col("t"), many) is not None
+    df.write.parquet(str(tmp_path / "t"))
+    shown = io.StringIO()
+    with contextlib.redirect_stdout(shown):
+        spark.read.parquet(str(tmp_path / "t")).where(patterns.any_match(F.col("t"), ["^a/", "^b"])).explain("formatted")
+    assert re.search(r"PushedFilters: \[.*StringStartsWith\(t,a/\).*StringStartsWith\(t,b\)", shown.getvalue())

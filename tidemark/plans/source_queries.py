@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from ..functions import patterns
 from ..operators import grouping, objects, planning
 from ..sources import catalog, composed, container_index, containers, files, ranges
 from ..sources.ledger_log import LedgerLog
@@ -181,3 +182,12 @@ def process_tree(spark, d):
     key = F.col("o_orderkey")
     rows = table(spark, d, "orders").select(key.alias("pid"), F.when(key % 7 == 0, key).otherwise(F.expr("o_orderkey div 2")).alias("ppid"), F.col("o_custkey").alias("cpu"))
     return grouping.process_tree_sum(spark, rows, 2)
+
+
+@query(f"""WITH {CATALOGUE}, p AS (SELECT bundle_name AS name, CASE WHEN doc_id % 2 = 0 THEN bundle_name ELSE source || '/' || lang END AS path FROM catalogue)
+SELECT name, path LIKE 'src1/%' OR path LIKE 'src2/en/%' AS scanned, contains(path, '/7') OR contains(path, '/71') OR contains(path, 'de/3') OR contains(path, 'de/4') OR contains(path, '.x') OR contains(path, '/e') AS sought FROM p""")
+def literal_patterns(spark, d):
+    """Patterns that are literals: starts, and many sought at once."""
+    c = catalogue(spark, d)
+    path = F.when(F.col("doc_id") % 2 == 0, F.col("bundle_name")).otherwise(F.regexp_replace("bundle_name", "/[^/]*$", ""))
+    return c.select(F.col("bundle_name").alias("name"), patterns.any_match(path, ["^src1/", "^src2/en/", "^src1/de/"]).alias("scanned"), patterns.any_match(path, ["/7", "/71", "de/3", "de/4", r"\.x", "/e"]).alias("sought"))
