@@ -547,3 +547,14 @@ def test_warc_round_trip(spark):
         assert len(got) == len(pages) and {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got} == want
         assert all(bytes(r.payload).decode() == dict((i, h or "") for i, _, h in pages)[r.page_id] for r in got if r.record_type == "response")
     assert warc.read_archives(warc.write_archives(df.limit(0), folder), folder).count() == 0
+
+
+def test_labels_without_a_document_do_not_thin_out_the_rest(spark):
+    """Many labels of absent documents, few training rows allowed: all that is allowed is still learnt from."""
+    docs = documents(spark, [(i, ("good words in a sentence of prose. " if i % 2 else "buy buy buy 111 $$$ ") * (3 + i % 5)) for i in range(300)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)] + [(10**6 + i, 0) for i in range(60_000)], "doc_id long, quality int")
+    measured = quality_classifier.measure(docs)
+    model = quality_classifier.train(measured, labels, 150)
+    assert model.rules
+    got = {r.doc_id: r.predicted for r in quality_classifier.classify(docs, labels, 150).collect()}
+    assert sum(got[i] == i % 2 for i in range(300)) > 290

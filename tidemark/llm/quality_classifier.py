@@ -129,7 +129,7 @@ def train(measured: DataFrame, labels: DataFrame, most: int = MOST_TRAINING) ->
     known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("quality") > 0).cast("double").alias("label")).where(in_training(F.col("doc_id")))
     # Those of least hash; a bound on the hash first, which leaves about twice as many, so that not every task sends its own most.
     rows = measured.join(known, "doc_id").withColumn("h", F.xxhash64("doc_id"))
-    if (found := known.select("doc_id").distinct().count()) > 2 * most + 1000:
+    if (found := rows.select("doc_id").distinct().count()) > 2 * most + 1000:  # labels without a document do not count
         rows = rows.where(F.col("h") < F.lit(int(-(2**63) + 2**64 * (2 * most + 1000) / found)))
     rows = rows.orderBy("h", "doc_id", "label", *STATISTICS).limit(most)
     sample = materialise(rows.select("label", array_to_vector(F.array(*STATISTICS)).alias("features"), *STATISTICS).coalesce(1), "training")
