@@ -184,7 +184,7 @@ def process_tree(spark, d):
     return grouping.process_tree_sum(spark, rows, 2)
 
 
-@query(f"""WITH {CATALOGUE}, p AS (SELECT bundle_name AS name, CASE WHEN doc_id % 2 = 0 THEN bundle_name ELSE source || '/' || lang END AS path FROM catalogue)
+@query(f"""WITH {CATALOGUE}, p AS (SELECT bundle_name AS name, CASE WHEN doc_id % 2 = 0 THEN bundle_name ELSE regexp_replace(bundle_name, '/[^/]*$', '') END AS path FROM catalogue)
 SELECT name, path LIKE 'src1/%' OR path LIKE 'src2/en/%' AS scanned, contains(path, '/7') OR contains(path, '/71') OR contains(path, 'de/3') OR contains(path, 'de/4') OR contains(path, '.x') OR contains(path, '/e') AS sought FROM p""")
 def literal_patterns(spark, d):
     """Patterns that are literals: starts, and many sought at once."""
