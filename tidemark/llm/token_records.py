@@ -31,6 +31,8 @@ MASK_ADD = 0xA282EAD8
 #: Records that one read task takes from a file.
 READ_RECORDS = 4096
 MANIFEST = "part long, file string, records long, tokens long, bytes long"
+#: Pieces of text in a generation whose ids a writing worker keeps: it holds little else.
+PIECES = 600_000
 
 
 def masked(data: bytes) -> int:
@@ -72,7 +74,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int, par
     rows = rows.repartitionByRange(partitions or parallelism(spark), "doc_id", "_row").sortWithinPartitions("doc_id", "_row").select("doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(tokenizer), end_id.to_bytes(4, "little")
+        enc, end = encoder(tokenizer, PIECES), end_id.to_bytes(4, "little")
         part = TaskContext.get().partitionId()
         fs, root = open_store(folder)
         fs.create_dir(root, recursive=True)

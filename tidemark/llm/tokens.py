@@ -112,11 +112,11 @@ class PieceEncoder:
         return self._cut(first) + b"".join(map(self.kept.__getitem__, pieces))
 
 
-_encoders: dict[str, PieceEncoder] = {}
+_encoders: dict[tuple[str, int], PieceEncoder] = {}
 
 
-def encoder(path: str) -> PieceEncoder:
-    """One for each worker process and tokenizer file."""
-    if path not in _encoders:
-        _encoders[path] = PieceEncoder(path)
-    return _encoders[path]
+def encoder(path: str, keep: int = KEEP) -> PieceEncoder:
+    """One for each worker process, tokenizer file and number of pieces kept."""
+    if (path, keep) not in _encoders:
+        _encoders[path, keep] = PieceEncoder(path, keep)
+    return _encoders[path, keep]
