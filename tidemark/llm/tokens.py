@@ -23,8 +23,8 @@ CHUNK = re.compile(f"[{SPACE}]+(?=[{SPACE}][^{SPACE}])|[{SPACE}]?[^{SPACE}]+|[{S
 PLAIN = re.compile("(\n?)((?:(?<!\\n) )?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
 #: The same marks (no apostrophe, which may begin a pre-token of letters) and the last letter, for pieces between spaces.
 MARKS, LAST = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~", "\xff"
-#: Pieces in a generation.
-KEEP = 300_000
+#: Pieces in a generation: some 240 MB of a worker process for two.
+KEEP = 600_000
 #: Longer pieces are encoded each time.
 LONGEST_KEPT = 64
 
@@ -97,8 +97,9 @@ class PieceEncoder:
         word = piece.rstrip(MARKS)
         if not word.isalpha() or not word.isascii() and max(word) > LAST:
             return self._cut(" " + piece)
-        out = self._merged(" " + word)
-        return out + self._pre_token(piece[len(word) :]) if len(word) < len(piece) else out
+        if len(word) == len(piece):
+            return self._merged(" " + word)
+        return self.kept[word] + self._pre_token(piece[len(word) :])  # the word by itself may be known
 
     def encode(self, text: str) -> bytes:
         """The ids of text as little-endian unsigned 32-bit integers."""
@@ -112,11 +113,11 @@ class PieceEncoder:
         return self._cut(first) + b"".join(map(self.kept.__getitem__, pieces))
 
 
-_encoders: dict[tuple[str, int], PieceEncoder] = {}
+_encoders: dict[str, PieceEncoder] = {}
 
 
-def encoder(path: str, keep: int = KEEP) -> PieceEncoder:
-    """One for each worker process, tokenizer file and number of pieces kept."""
-    if (path, keep) not in _encoders:
-        _encoders[path, keep] = PieceEncoder(path, keep)
-    return _encoders[path, keep]
+def encoder(path: str) -> PieceEncoder:
+    """One for each worker process and tokenizer file."""
+    if path not in _encoders:
+        _encoders[path] = PieceEncoder(path)
+    return _encoders[path]
