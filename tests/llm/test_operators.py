@@ -390,7 +390,7 @@ WORDINGS = [
 
 def test_touched_paragraphs_are_told(spark, some):
     model = licenses.LicenseModel(some)
-    prose = ["The warranty of the car ended in May.", "She was granted permission to leave.", "A confidential talk.", "© 1999", "Ohne Lizenz geht nichts."]
+    prose = ["The warranty of the car ended in May.", "She was granted permission to leave.", "A confidential talk.", "Copyright 1999", "Ohne Lizenz geht nichts."]
     texts = [*enumerate([t for t, _ in WORDINGS] + prose)]
     rows = licenses.scan_licenses(documents(spark, texts), model).collect()
     told = {k: [r for r in rows if r.doc_id == k] for k, _ in texts}

@@ -95,9 +95,10 @@ SAYINGS = [
 WAYS = ["{}", "{} See the LICENSE file for details.", "Copyright (c) 2019 The Authors. {}", "Note: {}", "{} Copyright 2021.", "The following holds: {}"]
 #: Of names, ways and sayings, each of this number is kept out of training and only calibrates.
 KEPT_OUT = 4
-#: Lines with these stems are not taken for prose, and are told whatever words they have; so are those with the cues.
+#: Lines with these stems are not taken for prose.
 STEMS = "licen[sc]|copyright|reserved|permission|public domain|spdx|redistribut|gpl|\\bcc[ -]by\\b"
-CUES = STEMS + "|li[zc]en[zc]|warrant|\\bas[ -]is\\b|proprietary|confidential|unlicense|wtfpl|eupl|creative commons|endorse or promote|verbatim copies|©|\\(c\\) ?[12][0-9]{3}|held liable"
+# Words, as words_of gives them, by which a paragraph is told.
+CUES = "license licenses licensed licensing licensor licensors licensee sublicense sublicensed relicensed unlicense unlicensed copyright copyrights copyrighted copyleft reserved permission permissions permitted spdx gpl lgpl agpl mpl epl eupl wtfpl eula redistribute redistributed redistribution redistributions warranty warranties proprietary confidential verbatim liable liability commons unencumbered lizenz lizenzen lizenziert licencia licencias licenza".split()
 
 
 def written() -> list[tuple[str, str, bool]]:
@@ -178,7 +179,8 @@ class LicenseModel:
     def score(self, paragraphs: DataFrame) -> DataFrame:
         """paragraphs (with column paragraph) that have a learnt word or a cue: family (or unknown, or none), probability, similarity and others, the further
         families whose notice or name they have, beside their columns."""
-        touched = F.exists(words_of(F.col("paragraph")), lambda w: w.isin(self.words)) | F.lower("paragraph").rlike(CUES)
+        told = sorted({*self.words, *CUES})
+        touched = F.exists(words_of(F.col("paragraph")), lambda w: w.isin(told))
         given = paragraphs.where(touched).withColumn("grams", grams(F.col("paragraph")))
         p = F.transform(F.array(vector_to_array("rawPrediction")), lambda m: F.transform(m, lambda x: F.exp((x - F.array_max(m)) / self.temperature)))[0]
         p = F.transform(F.array(p), lambda a: F.transform(a, lambda x: x / F.aggregate(a, F.lit(0.0), lambda s, v: s + v)))[0]
