@@ -192,14 +192,15 @@ class LicenseModel:
         # A name counts whole or not at all.
         whole = lambda t: F.when(part(t) == 1.0, 1.0).otherwise(0.0)
         templates = {f: [part(template(t)) for t in texts] + [whole(template(t)) for t in NAMES.get(f, [])] for f, texts in self.notices.items()}
-        named = named.withColumn("parts", F.map_from_arrays(F.array(*[F.lit(f) for f in templates]), F.array(*[F.greatest(F.lit(0.0), *x) for x in templates.values()])))
-        named = named.withColumn("similarity", F.coalesce(F.try_element_at("parts", F.col("likely")), F.lit(0.0)))
+        similarity = F.coalesce(*[F.when(F.col("likely") == f, F.greatest(F.lit(0.0), *x)) for f, x in templates.items()])
+        named = named.withColumn("similarity", F.when(F.get("p", F.lit(0)) >= 0.5, 0.0).otherwise(similarity))
         sure = (F.col("best.p") >= SURE) & (F.col("similarity") >= CONFIRMED)
         nothing = F.get("p", F.lit(0))
         family = F.when(nothing >= 0.5, NONE).when(sure, F.col("likely")).otherwise(UNKNOWN)
         named = named.withColumn("family", family)
-        stands = F.map_keys(F.map_filter("parts", lambda f, x: (x >= CONFIRMED) & (f != F.col("family")) & (f != UNKNOWN)))
-        others = F.when(F.col("family") == NONE, F.array().cast("array<string>")).otherwise(F.array_sort(stands))
+        # Templates are held against what speaks of a licence alone.
+        stands = [F.when(~F.col("family").isin(NONE, f) & (F.greatest(F.lit(0.0), *x) >= CONFIRMED), f) for f, x in templates.items() if f != UNKNOWN]
+        others = F.when(F.col("family") == NONE, F.array().cast("array<string>")).otherwise(F.array_sort(F.array_compact(F.array(*stands))))
         return named.select(*paragraphs.columns, "family", F.when(F.col("family") == NONE, nothing).otherwise(F.col("best.p")).alias("probability"), "similarity", others.alias("others"))
 
 
