@@ -261,6 +261,21 @@ def test_repeated_rows_and_items_that_share_an_id(spark):
     assert decontamination.decontaminate(docs, items.limit(0)).count() == docs.count()
 
 
+def test_links_send_no_exploded_rows_through_the_driver(spark):
+    r = random.Random(5)
+    fps = [r.getrandbits(64) - (1 << 63) for _ in range(8000)]
+    near = [x ^ 1 << 7 ^ 1 << 40 for x in fps[:50]]
+    saved = {k: spark.conf.get(k, None) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.maxBroadcastTableSize")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1m")
+        spark.conf.set("spark.sql.maxBroadcastTableSize", "3m")  # what the planner takes for small fails where it is over three times so much
+        found = simhash.links(spark.createDataFrame([(x,) for x in fps + near], "fp long"), 3).collect()
+    finally:
+        for k, v in saved.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert {frozenset(x) for x in found} == {frozenset(x) for x in zip(fps, near)}
+
+
 def test_edited_copies_are_found_beside_exact_ones(spark):
     r = random.Random(7)
     vocabulary = [f"w{k}" for k in range(400)]

@@ -69,6 +69,12 @@ def scratch_tables(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFr
             place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def by_shuffle(df: DataFrame) -> DataFrame:
+    """df for a join in which no side is to be broadcast. The planner takes exploded rows, and what repeats within a file, for as
+    small as the file they come from: it would send them whole through the driver, many times its threshold."""
+    return df.hint("merge")
+
+
 def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system and path of a URI or plain path, for files that tasks write and read themselves."""
     if "://" not in uri and not uri.startswith("file:"):

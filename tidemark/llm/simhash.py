@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import in_arrow, materialise, parallelism, scratch_tables, text_or_empty
+from .shared import by_shuffle, in_arrow, materialise, parallelism, scratch_tables, text_or_empty
 
 BITS, SEGMENTS = 64, 4
 WIDTH = BITS // SEGMENTS
@@ -79,7 +79,7 @@ def clump_links(fps: DataFrame, distance: int) -> DataFrame:
     signed = [m - (1 << BITS) if m >> (BITS - 1) else m for m in masks]
     keyed = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("rest")) for i, m in enumerate(signed)])).alias("k")).select("fp", "k.*")
     least = keyed.groupBy("part", "rest").agg(F.min("fp").alias("least"), F.count("*").alias("n")).where("n > 1")
-    return keyed.join(least, ["part", "rest"]).where((F.col("fp") != F.col("least")) & (differing(F.col("fp"), F.col("least")) <= distance)).select(F.col("fp").alias("a"), F.col("least").alias("b")).distinct()
+    return by_shuffle(keyed).join(least, ["part", "rest"]).where((F.col("fp") != F.col("least")) & (differing(F.col("fp"), F.col("least")) <= distance)).select(F.col("fp").alias("a"), F.col("least").alias("b")).distinct()
 
 
 def pigeonring_links(fps: DataFrame, distance: int) -> DataFrame:
@@ -101,7 +101,7 @@ def pigeonring_links(fps: DataFrame, distance: int) -> DataFrame:
         ring = ring.when(at == i, F.shiftrightunsigned(x, WIDTH * i).bitwiseOR(F.shiftleft(x, BITS - WIDTH * i)))
     chain = lambda n: F.bit_count(ring.bitwiseAND(F.lit((1 << WIDTH * n) - 1).cast("long"))) * SEGMENTS <= n * distance
     near = (F.col("key") == F.col("asked")) & (F.col("a_own") != F.col("b_own")) & chain(3) & (F.bit_count(x) <= distance)
-    return index.join(probe, near).select("a", "b")
+    return by_shuffle(index).join(probe, near).select("a", "b")
 
 
 def links(fps: DataFrame, distance: int) -> DataFrame:
@@ -130,7 +130,7 @@ def near_duplicates(docs: DataFrame, distance: int = 3, shingle: int = 3) -> Dat
     with scratch_tables(docs.sparkSession) as keep:
         rows = keep(materialise(grouped(docs, distance, shingle), "grouped"))
     least = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(least, "root").select("doc_id", "fp", "component_id", (F.col("copies") - 1).alias("links"))
+    return by_shuffle(rows).join(least, "root").select("doc_id", "fp", "component_id", (F.col("copies") - 1).alias("links"))
 
 
 def keep_one(docs: DataFrame, distance: int = 3, shingle: int = 3) -> DataFrame:
@@ -149,7 +149,7 @@ def keep_first(docs: DataFrame, rows: DataFrame, keep) -> DataFrame:
     rows = rows.groupBy("root", "doc_id", "key").agg(F.count("*").alias("n"))
     rows = materialise(rows.withColumn("place", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")), "grouped")
     first = rows.groupBy("root").agg(F.min("place").alias("first"), F.count("*").alias("rows"))
-    judged = rows.join(first.where("rows > 1"), "root").where("place != first")
+    judged = by_shuffle(rows).join(first.where("rows > 1"), "root").where("place != first")
     some_twice = not rows.where("n > 1").isEmpty()
     gone = keep(materialise(judged.select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key")), "near-duplicates"))
     own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs["doc_id"].cast("long").alias("row_id"), text_key(docs).alias("row_key"))
