@@ -110,3 +110,29 @@ def test_same_rows(spark, duck, tables, name):  # noqa: F811
 
 def test_all_queries_are_registered():
     assert {n.split("_")[0] for n in QUERIES} == {f"op{n}" for n in range(1, 11)} and list(corpus_pipeline.QUERIES) == ["pipeline"]
+
+
+def many(n, words=12):
+    """n different short texts, of which every third is a near copy of the one before it."""
+    r, texts = random.Random(5), []
+    for i in range(n):
+        texts.append(" ".join(f"w{r.randrange(10**6)}" for _ in range(words)) if i % 3 else (texts[-1] if texts else "w") + f" {i}")
+    return texts
+
+
+@pytest.fixture
+def small_broadcasts(spark):
+    """What the planner takes for 1 MB at most, and so broadcasts, fails where it is over 48 MB (a hash table has 32 MB here at the least)."""
+    saved = {k: spark.conf.get(k, None) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.maxBroadcastTableSize")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1m")
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "48m")
+    yield
+    for k, v in saved.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_stage_2_sends_no_exploded_rows_through_the_driver(spark, small_broadcasts):
+    texts = many(12_000)
+    kept = corpus_pipeline.near_dedup(spark, documents(spark, list(enumerate(texts))), "")
+    # A text with one word more has 8 of 9 shingles in common with the one before it.
+    assert sorted(x.doc_id for x in kept.collect()) == [i for i in range(12_000) if i == 0 or i % 3]

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import simhash
 from .components import connected_components
-from .shared import in_arrow, materialise, scratch_tables, text_or_empty
+from .shared import by_shuffle, in_arrow, materialise, scratch_tables, text_or_empty
 from .simhash import keep_first, text_key
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -144,16 +144,16 @@ def against_one(rows: DataFrame, key: list[str], *order: str) -> DataFrame:
     """(a, b) for rows (cls and the columns key and order): each class against the first of a group with it, in this order."""
     place = F.struct(*order, "cls")
     first = rows.groupBy(*key).agg(F.min(place).alias("first"))
-    return rows.join(first, key).where("cls != first.cls").select(F.col("cls").alias("a"), F.col("first.cls").alias("b")).distinct()
+    return by_shuffle(rows).join(first, key).where("cls != first.cls").select(F.col("cls").alias("a"), F.col("first.cls").alias("b")).distinct()
 
 
 def candidates(classes: DataFrame) -> DataFrame:
     """(a, b), once each: classes (cls, size, bands) that share a band with others, against the central one of a band with them."""
     rows = classes.select("cls", "size", F.explode("bands").alias("band"))
     several = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    shared = materialise(rows.join(several, "band"), "bands")
+    shared = materialise(by_shuffle(rows).join(several, "band"), "bands")
     known = shared.groupBy("cls").agg((-F.sum("n")).alias("known"))  # less is more
-    return against_one(shared.join(known, "cls"), ["band"], "known", "size")
+    return against_one(by_shuffle(shared).join(known, "cls"), ["band"], "known", "size")
 
 
 def rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -191,17 +191,18 @@ def components(docs: DataFrame, each: DataFrame, similarity: float, shingle: int
     # Groups of a central text with two more or above, of which some aren't similar to it: those go on under what sets them apart.
     open_ = judged.where("central").groupBy("b").agg(F.count("*").alias("n"), F.count_if(~F.col("linked")).alias("others")).where("n > 1 AND others > 0").select("b")
     left = judged.where("central").join(open_, "b", "left_semi").select("b", F.col("a").alias("cls"), "apart", "within")
-    grouped = left.select("b", "cls", F.explode(F.col("apart").cast("array<long>")).alias("group")).unionAll(left.where("within").select("b", "cls", F.lit(WITHIN).alias("group")))
-    grouped = rooted(grouped.join(classes.select("cls", "size"), "cls"), roots)
+    left = rooted(left.join(classes.select("cls", "size"), "cls"), roots)
+    group = F.concat(F.col("apart").cast("array<long>"), F.when(F.col("within"), F.array(F.lit(WITHIN).cast("long"))).otherwise(F.array().cast("array<long>")))
+    grouped = left.select("b", "cls", "size", "own", F.explode(group).alias("group"))
     several = grouped.groupBy("b", "group").agg(F.min("own").alias("x"), F.max("own").alias("y")).where("x != y").select("b", "group")
-    grouped = materialise(grouped.join(several, ["b", "group"]).select("b", "group", "cls", "size"), "apart")
+    grouped = materialise(by_shuffle(grouped).join(several, ["b", "group"]).select("b", "group", "cls", "size"), "apart")
     tried = judged.select("a", "b").unionAll(judged.select(F.col("b").alias("a"), F.col("a").alias("b")))
     again = materialise(against_one(grouped, ["b", "group"], "size").join(tried, ["a", "b"], "left_anti"), "pairs")
     more = materialise(compared(again, sets, similarity).where("linked").select("a", "b"), "judged")
     roots = connected_components(edges(roots, more))
     own = rooted(grouped, roots)
     several = own.groupBy("b", "group").agg(F.min("own").alias("x"), F.max("own").alias("y")).where("x != y").select("b", "group")
-    rest = own.join(several, ["b", "group"], "left_semi").select("b", "cls", "own").distinct()
+    rest = by_shuffle(own).join(several, ["b", "group"], "left_semi").select("b", "cls", "own").distinct()
     parts = F.ceil(F.col("n") / BLOCK_TEXTS).cast("int")
     own = materialise(rest.join(rest.groupBy("b").agg(F.count("*").alias("n")), "b").withColumn("parts", parts).join(sets, "cls"), "apart")
     # A large group is dealt out: each part of it meets the whole group in a task of its own.
@@ -211,7 +212,7 @@ def components(docs: DataFrame, each: DataFrame, similarity: float, shingle: int
     # Sets whose sizes differ more cannot be similar enough.
     near = (F.col("x_cls") > F.col("y_cls")) & (F.col("x_own") != F.col("y_own")) & (n >= similarity * m) & (m >= similarity * n)
     alike = F.size(F.array_intersect("x_shingles", "y_shingles")) * (1 + similarity) + 1e-9 >= similarity * (n + m)
-    last = x.join(y, ["b", "part"]).where(near & alike).select(F.col("x_cls").alias("a"), F.col("y_cls").alias("b")).distinct()
+    last = by_shuffle(x).join(y, ["b", "part"]).where(near & alike).select(F.col("x_cls").alias("a"), F.col("y_cls").alias("b")).distinct()
     return connected_components(edges(roots, last))
 
 
