@@ -132,6 +132,27 @@ def test_catalogues_by_ranges(spark, tmp_path):
     assert catalog.read_catalogues(spark, str(tmp_path / "none")).count() == 0
 
 
+@pytest.mark.parametrize("joined", [False, True])
+def test_written_catalogues_are_whole(spark, tmp_path, joined):
+    """A file's entries lie in many partitions, beside small tables that joins by file may broadcast."""
+    want = sorted((f"f{i % 3}/{i}", f"h{i}", i, i * 7, "StartApp") for i in range(600))
+    bundles = spark.createDataFrame([(f"{n[:2]}.bin", n, *x) for n, *x in want] + [(None, "lost", "h", 1, 1, "StartApp")], "file string, bundle_name string, hash string, crc long, file_size long, category string")
+    if joined:
+        bundles = bundles.join(spark.createDataFrame([(f"f{i}.bin",) for i in range(3)], "file string"), "file")
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "8k"}  # as for many rows: several tasks, no broadcast of them
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        done = catalog.write_catalogues(bundles, str(tmp_path / "c")).collect()
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+    assert sorted((r.file, r.entries) for r in done) == [(f"f{i}.bin", 200) for i in range(3)]
+    assert sorted(len(messagepack.unpack(p.read_bytes())[0]["bundles"]) for p in (tmp_path / "c").glob("*.bin")) == [200] * 3
+    rows = catalog.read_catalogues(spark, str(tmp_path / "c"), size=1 << 10, piece=1 << 9).select("bundle_name", "hash", "crc", "file_size", "category")
+    assert sorted(map(tuple, rows.collect())) == want
+
+
 def test_containers_by_their_heads(spark, tmp_path):
     items = [(f"n{i}/é", b"x" * (i * 37 % 500)) for i in range(300)] + [("big", b"y" * 200_000), ("", b"")]
     packed = containers.pack(items)

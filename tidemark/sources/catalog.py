@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.values import category
@@ -60,9 +61,11 @@ def read_catalogues(spark: SparkSession, path: str, key: str | None = None, iv:
 
 def write_catalogues(bundles: DataFrame, folder: str) -> DataFrame:
     """Write bundles (file, bundle_name, hash, crc, file_size, category) as plain catalogue files, one for each file, and return (file, entries);
-    they are written when that is evaluated. An entry at a time is held, not a file; a map's size stands before it, so it is counted first."""
-    sizes = bundles.groupBy(F.col("file").alias("_file")).agg(F.count("*").alias("entries"))
-    rows = bundles.join(sizes, F.col("file") == F.col("_file")).select("file", "entries", "bundle_name", "hash", "crc", "file_size", "category")
+    they are written when that is evaluated. Rows without a file are left out. An entry at a time is held, not a file; a map's size stands before
+    it, so a window counts it first. The window also keeps a file's rows in one task: a repartition by file behind a join by file is optimised
+    away, and the join may leave its partitions when it turns into a broadcast."""
+    of = W.partitionBy("file").orderBy("bundle_name").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    rows = bundles.where("file IS NOT NULL").select("file", F.count("*").over(of).alias("entries"), "bundle_name", "hash", "crc", "file_size", "category")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = open_store(folder)
@@ -86,7 +89,7 @@ def write_catalogues(bundles: DataFrame, folder: str) -> DataFrame:
         finish()
         yield pa.RecordBatch.from_pylist(done, schema=pa.schema([("file", pa.string()), ("entries", pa.int64())]))
 
-    return rows.repartition("file").sortWithinPartitions("file", "bundle_name").mapInArrow(write, "file string, entries long")
+    return rows.sortWithinPartitions("file", "bundle_name").mapInArrow(write, "file string, entries long")
 
 
 def _hadoop(spark: SparkSession, path: str):
